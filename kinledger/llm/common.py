@@ -63,3 +63,12 @@ def n_words(text: Column) -> Column:
     """Number of words of a text (null: 0), JVM-side: gaps are shrunk, then counted."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of Python values as a literal of the plan itself."""
+    import json
+
+    kind = f"array<struct<{schema}>>"
+    one = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("r"))
+    return one.select("r.*")

@@ -1,8 +1,8 @@
 """The subpackage's queries by name, and their SQL where SQL can express them."""
 
-from kinledger.llm import op1_quality, op2_binary_ids, op4_packing, op6_language, op7_simhash
+from kinledger.llm import op1_quality, op2_binary_ids, op3_sharding, op4_packing, op6_language, op7_simhash, op8_secrets, op9_mixing, op10_media
 
-_MODULES = (op1_quality, op2_binary_ids, op4_packing, op6_language, op7_simhash)
+_MODULES = (op1_quality, op2_binary_ids, op3_sharding, op4_packing, op6_language, op7_simhash, op8_secrets, op9_mixing, op10_media)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
