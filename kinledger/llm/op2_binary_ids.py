@@ -124,7 +124,7 @@ class Segment:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, most: int = 4_000_000) -> DataFrame:
+def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, most: int = 1_000_000) -> DataFrame:
     """Table of segments: part, seq, before (ids of the part before it), n_docs, n_ids, body.
 
     Parts are ranges of doc_id in ascending order, and seq counts within a part;

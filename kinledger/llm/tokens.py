@@ -31,7 +31,7 @@ class WordTokenizer:
     pieces are encoded anew in each block, with the same ids.
     """
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,7 +113,7 @@ class WordTokenizer:
         return ids, np.concatenate([after[first], after[ends[-1:]]]) if len(first) else np.zeros(1, np.int64)
 
 
-def blocks(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``most`` bytes, one row at least."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     total, begin = np.cumsum(size), 0
