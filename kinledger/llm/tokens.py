@@ -31,7 +31,7 @@ class WordTokenizer:
     pieces are encoded anew in each block, with the same ids.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
