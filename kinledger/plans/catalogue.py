@@ -1,4 +1,605 @@
 """All queries by name, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinledger.functions import context, features, normalize, risk
+from kinledger.functions import similarity as sim
+from kinledger.operators import extract, gnn, graph, ownership, resolve
+from kinledger.plans import oracle as o
+from kinledger.plans.views import base, view, with_views
+from kinledger.sources import store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+AS_OF = "2024-06-30 12:00:00"
+
+
+def query(sql: str | None = None, *views: str) -> Callable:
+    """Registers a query under its function's name; ``sql`` runs over the named views."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = with_views(sql, *views) if views else sql.strip()
+        return f
+
+    return add
+
+
+def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities view with addresses and identifiers in their lists and maps."""
+    e = view(spark, sf_dir, "entities")
+    ids = F.map_from_entries(F.array_compact(F.array(F.when(F.col("ein").isNotNull(), F.struct(F.lit("ein").alias("key"), F.col("ein").alias("value"))))))
+    return e.select("entity_id", "name", "entity_type", F.array_compact(F.array("address")).alias("addresses"), ids.alias("identifiers"), "jurisdiction", "confidence", "address", "ein")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each company with the next one."""
+    view(spark, sf_dir, "entities").createOrReplaceTempView("entities")
+    return spark.sql(PAIRS)
+
+
+PAIRS = """
+SELECT a.entity_id AS id1, b.entity_id AS id2, a.name AS name1, b.name AS name2, a.address AS address1, b.address AS address2, a.ein AS ein1, b.ein AS ein2
+FROM entities a JOIN entities b ON b.entity_type = 'COMPANY' AND a.entity_type = 'COMPANY' AND CAST(substr(b.entity_id, 2) AS BIGINT) = CAST(substr(a.entity_id, 2) AS BIGINT) + 1
+"""
+_P = f"WITH pairs AS ({PAIRS.strip()})"
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "relationships")
+
+
+# ---- normalisation
+
+
+@query(f"SELECT entity_id, {o.title('bare')} AS norm_name FROM (SELECT entity_id, {o.name('name')} AS bare FROM entities)", "entities")
+def norm_name(spark, sf_dir):
+    return view(spark, sf_dir, "entities").select("entity_id", normalize.normalize_name(F.col("name")).alias("norm_name"))
+
+
+@query(f"SELECT entity_id, {o.address('address')} AS norm_address, {o.swap('upper(address)', normalize.STREETS)} AS street FROM entities WHERE address IS NOT NULL", "entities")
+def norm_address(spark, sf_dir):
+    e = view(spark, sf_dir, "entities").filter("address IS NOT NULL")
+    return e.select("entity_id", normalize.normalize_address(F.col("address")).alias("norm_address"), normalize.standardize_street(F.col("address")).alias("street"))
+
+
+
+
+@query(f"SELECT n_nationkey, v, {o.state('v')} AS state FROM (SELECT n_nationkey, unnest(['west virginia', 'CA', ' Ohio ', 'zz', n_name]) AS v FROM nation)")
+def norm_state(spark, sf_dir):
+    v = F.explode(F.array(F.lit("west virginia"), F.lit("CA"), F.lit(" Ohio "), F.lit("zz"), F.col("n_name")))
+    return base(spark, sf_dir, "nation").select("n_nationkey", v.alias("v")).withColumn("state", normalize.standardize_state(F.col("v")))
+
+
+_ID_ROWS = "SELECT c_custkey, unnest(['ein', 'lei', 'company_number', 'passport', 'visa']) AS k, unnest([concat(CAST(c_custkey AS VARCHAR), '-77 x'), concat(' ab', CAST(c_custkey AS VARCHAR), ' '), concat('no ', CAST(c_custkey AS VARCHAR), ' b'), concat(' p', CAST(c_custkey AS VARCHAR)), '']) AS v FROM customer"
+
+
+@query(rf"""SELECT c_custkey, k, CASE WHEN k IN ('ein', 'ssn', 'duns') THEN regexp_replace(v, '[^0-9]', '', 'g') WHEN k IN ('lei', 'vat', 'isin') THEN {o.strip('upper(v)')}
+    WHEN k = 'company_number' THEN upper(regexp_replace(v, '\s', '', 'g')) ELSE {o.strip('v')} END AS v FROM ({_ID_ROWS}) WHERE k <> 'visa'""")
+def norm_identifiers(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    ids = F.create_map(F.lit("ein"), F.concat(key, F.lit("-77 x")), F.lit("lei"), F.concat(F.lit(" ab"), key, F.lit(" ")), F.lit("company_number"), F.concat(F.lit("no "), key, F.lit(" b")), F.lit("passport"), F.concat(F.lit(" p"), key), F.lit("visa"), F.lit(""))
+    return base(spark, sf_dir, "customer").select("c_custkey", F.explode(normalize.normalize_identifiers(ids)).alias("k", "v"))
+
+
+@query(f"""SELECT entity_id, {o.title('bare')} AS name, CASE WHEN address IS NULL THEN '' ELSE {o.address('address')} END AS address, coalesce(regexp_replace(ein, '[^0-9]', '', 'g'), '') AS ein
+    FROM (SELECT *, {o.name('name')} AS bare FROM entities)""", "entities")
+def norm_entity(spark, sf_dir):
+    e = normalize.normalize_entity(entity_rows(spark, sf_dir).drop("address", "ein"))
+    return e.select("entity_id", "name", F.array_join("addresses", "|").alias("address"), F.coalesce(F.col("identifiers")["ein"], F.lit("")).alias("ein"))
+
+
+@query(r"""SELECT c_custkey, CASE WHEN length(d) = 11 AND starts_with(d, '1') THEN substr(d, 2) ELSE d END AS phone FROM (
+    SELECT c_custkey, regexp_replace(concat(CASE c_custkey % 3 WHEN 0 THEN '+1 (' ELSE '(' END, '555) ', lpad(CAST(c_custkey AS VARCHAR), 7, '0')), '[^0-9]', '', 'g') AS d FROM customer)""")
+def norm_phone(spark, sf_dir):
+    raw = F.concat(F.when(F.col("c_custkey") % 3 == 0, "+1 (").otherwise("("), F.lit("555) "), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
+    return base(spark, sf_dir, "customer").select("c_custkey", normalize.normalize_phone(raw).alias("phone"))
+
+
+_MAIL = "concat(' A.b', CAST(c_custkey AS {t}), CASE c_custkey % 3 WHEN 0 THEN '.X+t@GMail.com ' WHEN 1 THEN '.x@googlemail.com' ELSE '.x@Example.com' END)"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN (contains(m, '@gmail.com') OR contains(m, '@googlemail.com')) AND length(m) - length(replace(m, '@', '')) = 1
+    THEN concat(replace(split_part(m, '@', 1), '.', ''), '@', split_part(m, '@', 2)) ELSE m END AS email FROM (SELECT c_custkey, {o.strip('lower(' + _MAIL.format(t='VARCHAR') + ')')} AS m FROM customer)""")
+def norm_email(spark, sf_dir):
+    return base(spark, sf_dir, "customer").select("c_custkey", normalize.normalize_email(F.expr(_MAIL.format(t="STRING"))).alias("email"))
+
+
+def _variations_sql() -> str:
+    out = ["name", "upper(name)", "lower(name)", o.title("name"), "replace(name, ' ', '')", "replace(name, ' ', '-')", "replace(name, ' ', '_')"]
+    for full, short in normalize.ABBREVIATED.items():
+        for a, b in ((full, short), (full.title(), short.title())):
+            out.append(f"CASE WHEN contains(upper(name), '{full}') THEN replace(name, '{a}', '{b}') ELSE name END")
+    return f"SELECT DISTINCT entity_id, variation FROM (SELECT entity_id, unnest([{', '.join(out)}]) AS variation FROM entities)"
+
+
+@query(_variations_sql(), "entities")
+def name_variations(spark, sf_dir):
+    return view(spark, sf_dir, "entities").select("entity_id", F.explode(normalize.name_variations(F.col("name"))).alias("variation"))
+
+
+# ---- similarity
+
+
+@query(f"{_P} SELECT id1, id2, CASE WHEN greatest(length(name1), length(name2)) = 0 THEN 0.0 ELSE 1.0 - CAST(levenshtein(name1, name2) AS DOUBLE) / greatest(length(name1), length(name2)) END AS similarity FROM pairs", "entities")
+def sim_levenshtein(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", sim.levenshtein_similarity(F.col("name1"), F.col("name2")).alias("similarity"))
+
+
+@query(f"{_P}, t AS (SELECT id1, id2, list_distinct(string_split(name1, ' ')) AS a, list_distinct(string_split(name2, ' ')) AS b FROM pairs) SELECT id1, id2, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) AS similarity FROM t", "entities")
+def sim_token_jaccard(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", sim.token_jaccard(F.col("name1"), F.col("name2")).alias("similarity"))
+
+
+@query(f"{_P} SELECT id1, id2, round(jaro_winkler_similarity(lower(name1), lower(name2)), 9) AS similarity FROM pairs", "entities")
+def sim_jaro_winkler(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", F.round(sim.jaro_winkler_col(F.lower("name1"), F.lower("name2")), 9).alias("similarity"))
+
+
+@query(f"{_P} SELECT id1, id2, round(CASE WHEN address1 = address2 THEN 1.0 ELSE jaro_winkler_similarity(lower(address1), lower(address2)) END, 9) AS similarity FROM pairs", "entities")
+def sim_address(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.select("id1", "id2", F.round(sim.address_similarity(F.array("address1"), F.array("address2")), 9).alias("similarity"))
+
+
+@query(f"{_P} SELECT id1, id2, CASE WHEN ein1 = ein2 THEN 1.0 WHEN CAST(substr(id1, 2) AS BIGINT) % 7 = CAST(substr(id2, 2) AS BIGINT) % 7 - 1 AND left(address1, 2) = left(address2, 2) THEN 0.5 ELSE 0.0 END AS score FROM pairs", "entities")
+def identifier_match(spark, sf_dir):
+    step = lambda i: F.substring(i, 2, 20).cast("long") % 7
+    made = lambda ein, local: F.create_map(F.lit("ein"), F.col(ein), F.lit("local"), local)
+    local1 = F.concat((step("id1") + 1).cast("string"), F.lit(":"), F.substring("address1", 1, 2))
+    local2 = F.concat(step("id2").cast("string"), F.lit(":"), F.substring("address2", 1, 2))
+    return pairs(spark, sf_dir).select("id1", "id2", sim.identifier_match(made("ein1", local1), made("ein2", local2)).alias("score"))
+
+
+_NEXT = "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
+
+
+def _next_vectors(spark, sf_dir):
+    e = base(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("other_label"))
+    return e.join(b, "vec_id")
+
+
+@query(f"SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity {_NEXT}")
+def embedding_cosine(spark, sf_dir):
+    return _next_vectors(spark, sf_dir).select("vec_id", F.round(sim.cosine(F.col("embedding"), F.col("other")), 9).alias("similarity"))
+
+
+@query()
+def phonetic_pairs(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.select("id1", "id2", sim.soundex(F.col("name1")).alias("code1"), sim.soundex_simple(F.col("name1")).alias("simple1"), sim.metaphone(F.col("name1")).alias("metaphone1"), sim.phonetic_match(F.col("name1"), F.col("name2")).alias("same"))
+
+
+@query()
+def name_similarity(spark, sf_dir):
+    a, b = F.col("name1"), F.col("name2")
+    return pairs(spark, sf_dir).select("id1", "id2", F.round(sim.name_similarity(a, b), 9).alias("jw4"), F.round(sim.name_similarity(a, b, "sm3"), 9).alias("sm3"))
+
+
+@query()
+def sequence_ratio(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", F.round(sim.ratio_col(F.col("name1"), F.col("name2")), 9).alias("ratio"))
+
+
+@query()
+def token_sort(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", F.round(sim.token_sort(F.col("name1"), F.col("name2")), 9).alias("ratio"))
+
+
+@query()
+def potential_match(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", sim.potential_match(F.col("name1"), F.col("name2"), 0.6).alias("is_match"))
+
+
+@query()
+def common_substrings(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", sim.common_substrings(F.col("name1"), F.col("name2")).alias("parts"))
+
+
+@query()
+def longest_common_substring(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", "id2", sim.longest_common_substring(F.col("name1"), F.col("name2")).alias("part"))
+
+
+# ---- extraction
+
+
+def _found_sql() -> str:
+    """Table expressions up to ``found``: mentions of entity_docs with their place."""
+    one = lambda p: f"nullif(regexp_extract(text, '({p})', 1), '')"
+    return f"""attrs AS (SELECT doc_id, text, {one(extract.EMAIL)} AS email, {one(extract.PHONE)} AS phone, {one(extract.ADDRESS)} AS address, {one(extract.EIN)} AS ein FROM entity_docs),
+        listed AS (SELECT *, list_concat(list_transform(regexp_extract_all(text, '{extract.COMPANY}', 1), lambda x: {{'name': x, 'entity_type': 'COMPANY', 'confidence': 0.6::DOUBLE}}),
+            list_transform(list_filter(regexp_extract_all(text, '{extract.PERSON}', 1), lambda x: NOT (x IN ({o._quoted(extract.NO_PERSONS)}))), lambda x: {{'name': x, 'entity_type': 'INDIVIDUAL', 'confidence': 0.5::DOUBLE}})) AS m FROM attrs),
+        found AS (SELECT doc_id, email, phone, address, ein, unnest(range(len(m))) AS pos, unnest(m).name AS name, unnest(m).entity_type AS entity_type, unnest(m).confidence AS confidence FROM listed)"""
+
+
+_DEDUP = "deduped AS (SELECT doc_id, arg_min(name, pos) AS name, arg_min(entity_type, pos) AS entity_type, max(confidence) AS confidence, any_value(email) AS email, any_value(phone) AS phone, any_value(address) AS address, any_value(ein) AS ein FROM found GROUP BY doc_id, lower(trim(name)))"
+
+
+@query(f"WITH {_found_sql()} SELECT doc_id, pos, name, entity_type, confidence FROM found", "entity_docs")
+def extract_rules(spark, sf_dir):
+    return extract.mentions(view(spark, sf_dir, "entity_docs")).select("doc_id", F.col("pos").cast("long").alias("pos"), "name", "entity_type", "confidence")
+
+
+@query(f"WITH {_found_sql()} SELECT doc_id, email, phone, address, ein FROM attrs", "entity_docs")
+def extract_attributes(spark, sf_dir):
+    return extract.attributes(view(spark, sf_dir, "entity_docs"))
+
+
+_ATTR = lambda p: f"nullif(regexp_extract(text, '({p})', 1), '')"
+
+
+@query(f"SELECT doc_id, {_ATTR(extract.EMAIL)} AS email, {_ATTR(extract.PHONE)} AS phone, {_ATTR(extract.ADDRESS)} AS address, {_ATTR(extract.EIN)} AS ein FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+def extract_attributes_documents(spark, sf_dir):
+    return extract.attributes(base(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+
+
+@query(f"WITH {_found_sql()}, {_DEDUP} SELECT doc_id, name, entity_type, confidence, 'rule_based' AS sources FROM deduped", "entity_docs")
+def dedup_entities(spark, sf_dir):
+    d = extract.deduplicated(extract.mentions(view(spark, sf_dir, "entity_docs")))
+    return d.select("doc_id", "name", "entity_type", "confidence", F.array_join("data_sources", "|").alias("sources"))
+
+
+@query(f"""WITH {_found_sql()}, {_DEDUP}, bare AS (SELECT *, {o.name('name')} AS b FROM deduped)
+    SELECT doc_id, name AS original_name, {o.title('b')} AS name, entity_type, confidence, email, phone, {o.address('address')} AS address, regexp_replace(ein, '[^0-9]', '', 'g') AS ein FROM bare""", "entity_docs")
+def extract_entities(spark, sf_dir):
+    e = extract.extract_entities(view(spark, sf_dir, "entity_docs"))
+    return e.select("doc_id", "original_name", "name", "entity_type", "confidence", F.get("email_addresses", F.lit(0)).alias("email"), F.get("phone_numbers", F.lit(0)).alias("phone"), F.get("addresses", F.lit(0)).alias("address"), F.col("identifiers")["ein"].alias("ein"))
+
+
+def _answers(spark, sf_dir, text: str) -> DataFrame:
+    return base(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 5 == 0, "no json").otherwise(F.replace(F.lit(text), F.lit("#"), F.col("c_custkey").cast("string"))).alias("response"))
+
+
+@query("SELECT c_custkey AS doc_id, concat('Firm ', CAST(c_custkey AS VARCHAR)) AS name, 'COMPANY' AS entity_type, 'owner_40%' AS roles, 'Malta' AS jurisdiction, '2020-01-02' AS incorporated FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'Ann Lee', 'INDIVIDUAL', 'director', NULL, NULL FROM customer WHERE c_custkey % 5 <> 0")
+def llm_entities(spark, sf_dir):
+    text = '{"entities": [{"name": "Firm #", "jurisdiction": "Malta", "incorporation_date": "2020-01-02", "ownership_pct": 40}, {"name": "Ann Lee", "type": "INDIVIDUAL", "roles": ["director"], "incorporation_date": "soon"}]}'
+    e = extract.parse_answers(_answers(spark, sf_dir, text))
+    return e.select("doc_id", "name", "entity_type", F.array_join("roles", "|").alias("roles"), "jurisdiction", F.date_format("incorporation_date", "yyyy-MM-dd").alias("incorporated"))
+
+
+@query("SELECT c_custkey AS doc_id, 'Ann' AS source, concat('Firm ', CAST(c_custkey AS VARCHAR)) AS target, 'OWNS' AS relationship_type, CAST(55.5 AS DOUBLE) AS ownership_pct, CAST(1 AS DOUBLE) AS confidence FROM customer WHERE c_custkey % 5 <> 0")
+def llm_relationships(spark, sf_dir):
+    return extract.parse_links(_answers(spark, sf_dir, '{"relationships": [{"source": "Ann", "target": "Firm #", "type": "OWNS", "ownership_pct": 55.5}, {"source": "x"}]}'))
+
+
+# ---- tables
+
+
+def _updates_sql() -> str:
+    return """updates AS (SELECT entity_id, concat(name, ' New') AS name, entity_type, concat(address, ' B') AS address, ein, 'Malta' AS jurisdiction, CAST(0.95 AS DOUBLE) AS confidence FROM entities WHERE entity_type = 'COMPANY' AND CAST(substr(entity_id, 2) AS BIGINT) % 3 = 0
+        UNION ALL SELECT concat('N', CAST(n_nationkey AS STRING)), n_name, 'NGO', NULL, NULL, NULL, CAST(0.5 AS DOUBLE) FROM nation)"""
+
+
+@query(f"""WITH {_updates_sql()} SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN a.entity_id IS NOT NULL THEN a.name ELSE b.name END AS name, CASE WHEN a.entity_id IS NOT NULL THEN a.entity_type ELSE b.entity_type END AS entity_type,
+    CASE WHEN b.entity_id IS NOT NULL THEN b.address ELSE a.address END AS address, CASE WHEN b.entity_id IS NOT NULL THEN b.jurisdiction ELSE a.jurisdiction END AS jurisdiction, greatest(a.confidence, b.confidence) AS confidence
+    FROM entities a FULL JOIN updates b ON a.entity_id = b.entity_id""", "entities")
+def upsert_entities(spark, sf_dir):
+    old = view(spark, sf_dir, "entities")
+    old.createOrReplaceTempView("entities")
+    new = spark.sql(f"WITH {_updates_sql()} SELECT * FROM updates")
+    return store.upsert_entities(old, new).select("entity_id", "name", "entity_type", "address", "jurisdiction", "confidence")
+
+
+_EDGE_UPDATES = """updates AS (SELECT relationship_id, source_entity_id, target_entity_id, 'RELATED_TO' AS relationship_type, CAST(12 AS DOUBLE) AS ownership_pct FROM relationships WHERE relationship_id LIKE 'o%5'
+    UNION ALL SELECT concat('x', relationship_id), source_entity_id, CASE WHEN relationship_id LIKE '%3' THEN 'nobody' ELSE 'C1' END, 'RELATED_TO', CAST(1 AS DOUBLE) FROM relationships WHERE relationship_id LIKE 'h%')"""
+
+
+@query(f"""WITH {_EDGE_UPDATES}, valid AS (SELECT * FROM updates WHERE source_entity_id IN (SELECT entity_id FROM entities) AND target_entity_id IN (SELECT entity_id FROM entities))
+    SELECT coalesce(a.relationship_id, b.relationship_id) AS relationship_id, coalesce(a.source_entity_id, b.source_entity_id) AS source_entity_id, coalesce(a.target_entity_id, b.target_entity_id) AS target_entity_id,
+    CASE WHEN a.relationship_id IS NOT NULL THEN a.relationship_type ELSE b.relationship_type END AS relationship_type, CASE WHEN b.relationship_id IS NOT NULL THEN b.ownership_pct ELSE a.ownership_pct END AS ownership_pct
+    FROM relationships a FULL JOIN valid b ON a.relationship_id = b.relationship_id AND a.source_entity_id = b.source_entity_id AND a.target_entity_id = b.target_entity_id""", "entities", "relationships")
+def upsert_edges(spark, sf_dir):
+    old = edges(spark, sf_dir)
+    old.createOrReplaceTempView("relationships")
+    return store.upsert_edges(old, spark.sql(f"WITH {_EDGE_UPDATES} SELECT * FROM updates"), view(spark, sf_dir, "entities"))
+
+
+@query("SELECT entity_id, name, confidence FROM entities WHERE contains(name, 'in') ORDER BY confidence DESC, entity_id LIMIT 10", "entities")
+def search_name(spark, sf_dir):
+    return store.find_by_name(view(spark, sf_dir, "entities"), "in").select("entity_id", "name", "confidence")
+
+
+@query("SELECT entity_id, name, entity_type, address, ein, jurisdiction, confidence FROM entities WHERE entity_id = 'C42'", "entities")
+def entity_by_id(spark, sf_dir):
+    return store.entity_by_id(view(spark, sf_dir, "entities"), "C42")
+
+
+@query("SELECT DISTINCT least(source_entity_id, target_entity_id) AS id1, greatest(source_entity_id, target_entity_id) AS id2 FROM relationships WHERE source_entity_id <> target_entity_id", "relationships")
+def canonical_pairs(spark, sf_dir):
+    return store.canonical_pairs(edges(spark, sf_dir).select(F.col("source_entity_id").alias("id1"), F.col("target_entity_id").alias("id2")))
+
+
+@query("SELECT entity_id, name, confidence FROM entities WHERE jurisdiction = 'Iran' AND confidence >= 0.95", "entities")
+def parameter_query(spark, sf_dir):
+    e = view(spark, sf_dir, "entities")
+    return store.execute_query(spark, "SELECT entity_id, name, confidence FROM kl_entities WHERE jurisdiction = :j AND confidence >= :c", {"j": "Iran", "c": 0.95}, kl_entities=e)
+
+
+@query("SELECT entity_id, name, entity_type, jurisdiction, confidence FROM entities", "entities")
+def json_round_trip(spark, sf_dir):
+    e = view(spark, sf_dir, "entities").select("entity_id", "name", "entity_type", "jurisdiction", "confidence")
+    return store.from_json(store.to_json(e), e.schema)
+
+
+# ---- graph
+
+
+@query(f"WITH RECURSIVE {o.walk((), 2, both=True, start='C7')} SELECT DISTINCT node AS neighbor_id, array_to_string(edges, '>') AS path, hops FROM walk ORDER BY hops, neighbor_id, path LIMIT 100", "relationships")
+def neighbors(spark, sf_dir):
+    return graph.neighbors(edges(spark, sf_dir), "C7", 2)
+
+
+@query("""SELECT a.source_entity_id, a.target_entity_id AS via, b.target_entity_id, 'INDIRECT_OWNS' AS relationship_type, coalesce(a.ownership_pct, CAST(100 AS DOUBLE)) * coalesce(b.ownership_pct, CAST(100 AS DOUBLE)) / CAST(100 AS DOUBLE) AS ownership_pct
+    FROM relationships a JOIN relationships b ON a.target_entity_id = b.source_entity_id AND a.relationship_id <> b.relationship_id WHERE a.relationship_type = 'OWNS' AND b.relationship_type = 'OWNS'
+    AND coalesce(a.ownership_pct, CAST(100 AS DOUBLE)) * coalesce(b.ownership_pct, CAST(100 AS DOUBLE)) / CAST(100 AS DOUBLE) >= 10""", "relationships")
+def transitive_ownership(spark, sf_dir):
+    return graph.transitive_ownership(edges(spark, sf_dir)).drop("derived")
+
+
+@query("SELECT a.entity_id AS source_entity_id, b.entity_id AS target_entity_id, a.address AS shared FROM entities a JOIN entities b ON a.address = b.address AND a.entity_id < b.entity_id", "entities")
+def shared_addresses(spark, sf_dir):
+    return graph.shared_addresses(entity_rows(spark, sf_dir), edges(spark, sf_dir)).select("source_entity_id", "target_entity_id", F.array_join("shared_addresses", "|").alias("shared"))
+
+
+_DIRECTORS = "d AS (SELECT r.source_entity_id AS p, e.name, r.target_entity_id AS c FROM relationships r JOIN entities e ON e.entity_id = r.source_entity_id AND e.entity_type = 'INDIVIDUAL' WHERE r.relationship_type = 'DIRECTOR_OF')"
+
+
+@query(f"WITH {_DIRECTORS} SELECT a.c AS source_entity_id, b.c AS target_entity_id, a.name AS common_director FROM d a JOIN d b ON a.p = b.p AND a.c < b.c", "entities", "relationships")
+def common_directors(spark, sf_dir):
+    return graph.common_directors(view(spark, sf_dir, "entities"), edges(spark, sf_dir)).select("source_entity_id", "target_entity_id", "common_director")
+
+
+@query(f"""WITH {_DIRECTORS} SELECT 'transitive_ownership' AS kind, count(*) AS n FROM relationships a JOIN relationships b ON a.target_entity_id = b.source_entity_id AND a.relationship_id <> b.relationship_id
+    WHERE a.relationship_type = 'OWNS' AND b.relationship_type = 'OWNS' AND coalesce(a.ownership_pct, 100) * coalesce(b.ownership_pct, 100) / 100 >= 10
+    UNION ALL SELECT 'shared_addresses', count(*) FROM entities a JOIN entities b ON a.address = b.address AND a.entity_id < b.entity_id
+    UNION ALL SELECT 'common_directors', count(*) FROM d a JOIN d b ON a.p = b.p AND a.c < b.c""", "entities", "relationships")
+def infer_relationships(spark, sf_dir):
+    return graph.inferred_counts(entity_rows(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {o.ubo()} SELECT start_id, owner_id, owner_name, owner_type, round(effective_pct, 9) AS effective_pct, path, edge_path, chain_length, round(confidence, 9) AS confidence FROM ubos", "entities", "relationships")
+def ubo(spark, sf_dir):
+    found = ownership.beneficial_owners(edges(spark, sf_dir), view(spark, sf_dir, "entities"))
+    return found.withColumns({"effective_pct": F.round("effective_pct", 9), "confidence": F.round("confidence", 9)})
+
+
+@query(f"WITH RECURSIVE {o.cycles(depth=6)} SELECT start_id, path, edge_path, cycle_length, 'HIGH' AS risk_level FROM cycles", "relationships")
+def circular(spark, sf_dir):
+    return ownership.circular_ownership(edges(spark, sf_dir), depth=6)
+
+
+@query(f"WITH {o.NOMINEES} SELECT start_id, person_id, person_name, entity_count, array_to_string(entities_involved, '|') AS involved, risk_level, rationale FROM nominees", "entities", "relationships")
+def nominees(spark, sf_dir):
+    n = ownership.nominees(edges(spark, sf_dir), view(spark, sf_dir, "entities"))
+    return n.withColumn("involved", F.array_join("entities_involved", "|")).drop("entities_involved")
+
+
+def _report_sql() -> str:
+    owners, rings = o.ubo(), o.cycles()
+    rings = rings.replace("walk", "walk2").replace("hop AS", "hop2 AS").replace("FROM hop", "FROM hop2").replace("JOIN hop h", "JOIN hop2 h")
+    return f"""WITH RECURSIVE {owners}, {rings}, {o.NOMINEES},
+        c AS (SELECT e.entity_id AS start_id, coalesce(u.n, 0) AS n_owners, coalesce(k.n, 0) AS n_cycles, coalesce(p.n, 0) AS n_nominees, u.least FROM entities e
+            LEFT JOIN (SELECT start_id, count(*) AS n, min(confidence) AS least FROM ubos GROUP BY 1) u ON u.start_id = e.entity_id
+            LEFT JOIN (SELECT start_id, count(*) AS n FROM cycles GROUP BY 1) k ON k.start_id = e.entity_id
+            LEFT JOIN (SELECT start_id, count(*) AS n FROM nominees GROUP BY 1) p ON p.start_id = e.entity_id WHERE e.entity_type = 'COMPANY'),
+        s AS (SELECT *, least(least(n_owners / 5.0::DOUBLE, 1.0) + 0.5::DOUBLE * least(n_cycles / 3.0::DOUBLE, 1.0) + 0.3::DOUBLE * least(n_nominees / 5.0::DOUBLE, 1.0), 1.0) AS score FROM c)
+        SELECT start_id, n_owners, n_cycles, n_nominees, round(score, 9) AS complexity_score, CASE WHEN score >= 0.7 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+        CASE WHEN n_owners = 0 THEN 'OPAQUE' WHEN score < 0.3 AND least > 0.8 THEN 'TRANSPARENT' WHEN score < 0.6 THEN 'PARTIALLY_TRANSPARENT' ELSE 'OPAQUE' END AS transparency FROM s"""
+
+
+@query(_report_sql(), "entities", "relationships")
+def ownership_report(spark, sf_dir):
+    e = view(spark, sf_dir, "entities")
+    starts = e.filter("entity_type = 'COMPANY'").select(F.col("entity_id").alias("start_id"))
+    return ownership.ownership_report(edges(spark, sf_dir), e, starts).withColumn("complexity_score", F.round("complexity_score", 9))
+
+
+@query(f"""WITH RECURSIVE {o.walk(ownership.LAYER_TYPES, 10)}, rows AS (SELECT start_id, node AS top_id, array_to_string(nodes, '>') AS path, array_to_string(edges, '>') AS edge_path, hops AS layers FROM walk WHERE hops >= 3)
+    SELECT start_id, top_id, path, edge_path, layers FROM (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY layers, edge_path) AS rn FROM rows) WHERE rn <= 20""", "relationships")
+def layered(spark, sf_dir):
+    return ownership.layered_structures(edges(spark, sf_dir))
+
+
+@query("SELECT source_entity_id AS controller_id, count(DISTINCT target_entity_id) AS controlled_count FROM relationships WHERE relationship_type IN ('OWNS', 'CONTROLS', 'UBO_OF') AND target_entity_id IN (SELECT entity_id FROM entities WHERE jurisdiction = 'Panama') GROUP BY 1 HAVING count(DISTINCT target_entity_id) >= 2", "entities", "relationships")
+def common_controllers(spark, sf_dir):
+    return ownership.common_controllers(edges(spark, sf_dir), view(spark, sf_dir, "entities").filter("jurisdiction = 'Panama'"))
+
+
+# ---- decisions
+
+
+def _graph_pairs(spark, sf_dir) -> DataFrame:
+    """Companies with an equal address, and companies with a common director."""
+    e, r = entity_rows(spark, sf_dir), edges(spark, sf_dir)
+    cols = [F.col("source_entity_id").alias("id1"), F.col("target_entity_id").alias("id2")]
+    return graph.shared_addresses(e, r).select(*cols).union(graph.common_directors(e, r).select(*cols)).distinct()
+
+
+_SIGNALS = f"""{_DIRECTORS}, pairs AS (SELECT a.entity_id AS id1, b.entity_id AS id2 FROM entities a JOIN entities b ON a.address = b.address AND a.entity_id < b.entity_id
+        UNION SELECT a.c, b.c FROM d a JOIN d b ON a.p = b.p AND a.c < b.c),
+    own AS (SELECT DISTINCT source_entity_id AS p, target_entity_id AS c FROM relationships WHERE relationship_type IN ('OWNS', 'CONTROLS')),
+    nd AS (SELECT id1, id2, count(DISTINCT a.p) AS n FROM pairs JOIN d a ON a.c = id1 JOIN d b ON b.c = id2 AND a.p = b.p GROUP BY 1, 2),
+    nown AS (SELECT id1, id2, count(DISTINCT a.p) AS n FROM pairs JOIN own a ON a.c = id1 JOIN own b ON b.c = id2 AND a.p = b.p GROUP BY 1, 2),
+    signals AS (SELECT p.id1, p.id2, coalesce(nd.n, 0) AS num_shared_directors, least(coalesce(nd.n, 0) / 3.0::DOUBLE, 1.0) AS shared_directors_score,
+        CASE WHEN x.address = y.address THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS shared_addresses_score, least(coalesce(nown.n, 0) / 2.0::DOUBLE, 1.0) AS common_owners_score, x.name AS name1, y.name AS name2, x.ein AS ein1, y.ein AS ein2
+        FROM pairs p LEFT JOIN nd ON nd.id1 = p.id1 AND nd.id2 = p.id2 LEFT JOIN nown ON nown.id1 = p.id1 AND nown.id2 = p.id2 LEFT JOIN entities x ON x.entity_id = p.id1 LEFT JOIN entities y ON y.entity_id = p.id2)"""
+
+
+@query(f"WITH {_SIGNALS} SELECT id1, id2, num_shared_directors, round(shared_directors_score, 9) AS shared_directors_score, shared_addresses_score, common_owners_score FROM signals", "entities", "relationships")
+def graph_signals(spark, sf_dir):
+    g = resolve.graph_signals(_graph_pairs(spark, sf_dir), entity_rows(spark, sf_dir), edges(spark, sf_dir))
+    return g.select("id1", "id2", F.col("num_shared_directors").cast("long").alias("num_shared_directors"), F.round("shared_directors_score", 9).alias("shared_directors_score"), "shared_addresses_score", "common_owners_score")
+
+
+#: Signals of every sort for the fusion rule, from whole numbers that both engines see alike.
+_FUSE_IN = """SELECT l_orderkey, l_linenumber, l_quantity / CAST(50 AS DOUBLE) AS name_similarity, l_discount * CAST(10 AS DOUBLE) AS address_similarity, CASE l_partkey % 4 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS identifier_match_score,
+    l_tax * CAST(12 AS DOUBLE) AS gnn_score, CAST(l_suppkey % 3 AS DOUBLE) / CAST(2 AS DOUBLE) AS shared_directors_score, CAST(l_suppkey % 2 AS DOUBLE) AS shared_addresses_score, l_returnflag = 'A' AS llm_is_match, CASE l_linenumber % 3 WHEN 0 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS llm_confidence FROM lineitem"""
+
+
+@query(f"""WITH s AS ({_FUSE_IN}), t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.25::DOUBLE * name_similarity + 0.15::DOUBLE * address_similarity + 0.20::DOUBLE * identifier_match_score + 0.25::DOUBLE * gnn_score + 0.05::DOUBLE * shared_directors_score + 0.05::DOUBLE * shared_addresses_score + 0.05::DOUBLE * llm_confidence)) AS w FROM s),
+    u AS (SELECT *, CASE WHEN identifier_match_score = 1 THEN greatest(w, 0.90::DOUBLE) ELSE w END AS v FROM t),
+    f AS (SELECT *, CASE WHEN llm_is_match AND llm_confidence > 0.9::DOUBLE THEN greatest(v, 0.85::DOUBLE) WHEN NOT llm_is_match AND llm_confidence > 0.9::DOUBLE THEN least(v, 0.40::DOUBLE) ELSE v END AS score FROM u)
+    SELECT l_orderkey, l_linenumber, round(score, 9) AS score, CASE WHEN score >= 0.85::DOUBLE THEN 'DEFINITE_MATCH' WHEN score >= 0.70::DOUBLE THEN 'PROBABLE_MATCH' WHEN score >= 0.50::DOUBLE THEN 'POSSIBLE_MATCH' ELSE 'NOT_MATCH' END AS decision,
+    CASE WHEN score >= 0.85::DOUBLE THEN 'MERGE_ENTITIES' WHEN score >= 0.70::DOUBLE THEN 'FLAG_FOR_REVIEW' WHEN score >= 0.50::DOUBLE THEN 'NEEDS_INVESTIGATION' ELSE 'KEEP_SEPARATE' END AS action FROM f""")
+def fuse(spark, sf_dir):
+    base(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    f = resolve.fuse(spark.sql(_FUSE_IN))
+    return f.select("l_orderkey", "l_linenumber", F.round("score", 9).alias("score"), "decision", "action")
+
+
+@query()
+def resolve_pairs(spark, sf_dir):
+    out = resolve.resolve_entities(_graph_pairs(spark, sf_dir), entity_rows(spark, sf_dir), edges(spark, sf_dir), normalize=True)
+    return out.select("id1", "id2", F.round("name_similarity", 9).alias("name_similarity"), F.round("address_similarity", 9).alias("address_similarity"), "identifier_match_score", F.round("score", 9).alias("score"), "decision", "action")
+
+
+@query()
+def explain(spark, sf_dir):
+    out = resolve.resolve_entities(_graph_pairs(spark, sf_dir), entity_rows(spark, sf_dir), edges(spark, sf_dir))
+    return out.select("id1", "id2", "decision", "explanation")
+
+
+@query()
+def candidate_pairs(spark, sf_dir):
+    found, _ = resolve.blocks(normalize.normalize_entity(entity_rows(spark, sf_dir)))
+    return found
+
+
+# ---- risk, context, features
+
+
+@query(f"SELECT entity_id, {o.in_list('jurisdiction', risk.TAX_HAVENS)} AS tax_haven, {o.in_list('jurisdiction', risk.HIGH_RISK)} AS high_risk, CASE WHEN jurisdiction IS NULL OR jurisdiction = '' THEN 0.5::DOUBLE WHEN {o.in_list('jurisdiction', risk.HIGH_RISK)} THEN 1.0::DOUBLE WHEN {o.in_list('jurisdiction', risk.TAX_HAVENS)} THEN 0.7::DOUBLE ELSE 0.1::DOUBLE END AS risk FROM entities", "entities")
+def jurisdiction_risk(spark, sf_dir):
+    j = F.col("jurisdiction")
+    return view(spark, sf_dir, "entities").select("entity_id", risk.is_tax_haven(j).alias("tax_haven"), risk.is_high_risk(j).alias("high_risk"), risk.jurisdiction_risk(j).alias("risk"))
+
+
+_AS_OF_ORDERS = "1998-06-30 12:00:00"
+_DAYS = f"CAST(floor(date_diff('second', o_orderdate, TIMESTAMP '{_AS_OF_ORDERS}') / 86400.0) AS BIGINT)"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_DAYS} < 90 THEN 0.8::DOUBLE WHEN {_DAYS} < 365 THEN 0.5::DOUBLE WHEN {_DAYS} < 1095 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS risk FROM orders")
+def age_risk(spark, sf_dir):
+    at = F.lit(_AS_OF_ORDERS).cast("timestamp")
+    return base(spark, sf_dir, "orders").select("o_orderkey", risk.age_risk(F.col("o_orderdate").cast("timestamp"), at).alias("risk"))
+
+
+_SHELL_IN = """SELECT entity_id, CASE WHEN CAST(substr(entity_id, 2) AS BIGINT) % 2 = 0 THEN '555' END AS phone, CASE WHEN CAST(substr(entity_id, 2) AS BIGINT) % 3 = 0 THEN 'x.example' END AS site,
+    CASE CAST(substr(entity_id, 2) AS BIGINT) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'P.O. Box 7' ELSE '1 Elm' END AS place, jurisdiction, CASE WHEN CAST(substr(entity_id, 2) AS BIGINT) % 5 = 0 THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2001-01-01 00:00:00' END AS since FROM entities"""
+
+
+@query(f"""WITH s AS ({_SHELL_IN}) SELECT entity_id, array_to_string(list_filter([CASE WHEN phone IS NULL THEN 'No contact information' END, CASE WHEN site IS NULL THEN 'No website' END,
+    CASE WHEN place IS NULL THEN 'No registered address' WHEN contains(upper(place), 'P.O. BOX') THEN 'PO Box address' END, CASE WHEN {o.in_list('jurisdiction', risk.TAX_HAVENS)} THEN concat('Tax haven jurisdiction: ', jurisdiction) END,
+    CASE WHEN date_diff('second', since, TIMESTAMP '{AS_OF}') < 90 * 86400 THEN 'Very new entity (< 3 months)' END], lambda x: x IS NOT NULL), '|') AS indicators FROM s""", "entities")
+def shell_indicators(spark, sf_dir):
+    view(spark, sf_dir, "entities").createOrReplaceTempView("entities")
+    s = spark.sql(_SHELL_IN)
+    some = lambda c: F.array_compact(F.array(c))
+    none = F.array().cast("array<string>")
+    return s.select("entity_id", F.array_join(risk.shell_indicators(some("phone"), none, some("site"), some("place"), F.col("jurisdiction"), F.col("since"), F.lit(AS_OF).cast("timestamp")), "|").alias("indicators"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'fine' WHEN 1 THEN 'Unable to parse LLM response' ELSE 'LLM not available' END AS summary, CASE c_custkey % 3 WHEN 0 THEN 'SHELL' ELSE 'UNKNOWN' END AS classification, CASE c_custkey % 3 WHEN 0 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM customer""")
+def llm_json(spark, sf_dir):
+    text = F.when(F.col("c_custkey") % 3 == 0, 'So: {"profile_summary": "fine", "entity_classification": "SHELL", "classification_confidence": 0.75} Done.').when(F.col("c_custkey") % 3 == 1, "nothing {here")
+    a = context.context_answer(text)
+    return base(spark, sf_dir, "customer").select("c_custkey", a["profile_summary"].alias("summary"), a["entity_classification"].alias("classification"), a["classification_confidence"].alias("confidence"))
+
+
+@query("SELECT c_custkey, false AS is_match, 0.0::DOUBLE AS confidence, 'LLM not available' AS reasoning, 'NEEDS_INVESTIGATION' AS recommendation FROM customer")
+def llm_unavailable(spark, sf_dir):
+    a = context.disambiguation_answer(F.lit(None).cast("string"))
+    return base(spark, sf_dir, "customer").select("c_custkey", a["is_match"].alias("is_match"), a["confidence"].alias("confidence"), a["reasoning"].alias("reasoning"), a["recommendation"].alias("recommendation"))
+
+
+@query(r"""SELECT entity_id, concat_ws(chr(10), concat('Entity: ', name), concat('Type: ', entity_type), concat('Jurisdiction: ', jurisdiction) , CASE WHEN entity_type = 'COMPANY' THEN 'Incorporated: 2001-02-03' END, concat('Address: ', address), concat('Identifiers: ein: ', ein), CASE WHEN entity_type = 'COMPANY' THEN 'Owned by: A, B' END) AS context
+    FROM (SELECT entity_id, name, entity_type, address, ein, jurisdiction FROM entities WHERE jurisdiction IS NOT NULL)""", "entities")
+def context_text(spark, sf_dir):
+    e = entity_rows(spark, sf_dir).filter("jurisdiction IS NOT NULL").withColumn("incorporation_date", F.when(F.col("entity_type") == "COMPANY", F.lit("2001-02-03").cast("timestamp")))
+    return e.select("entity_id", context.context_text(owners=F.when(F.col("entity_type") == "COMPANY", F.array(F.lit("A"), F.lit("B")))).alias("context"))
+
+
+@query("""SELECT entity_id, array_to_string(list_transform([CASE WHEN entity_type = 'COMPANY' THEN 1 ELSE 0 END, CASE WHEN entity_type = 'INDIVIDUAL' THEN 1 ELSE 0 END, CASE WHEN entity_type = 'GOVERNMENT' THEN 1 ELSE 0 END, 0, CASE WHEN ein IS NULL THEN 0 ELSE 1 END, 0, 0, 0, CASE WHEN ein IS NULL THEN 0 ELSE 1 END,
+    CASE WHEN entity_type = 'COMPANY' THEN least(floor(date_diff('second', TIMESTAMP '2001-02-03 00:00:00', TIMESTAMP '2024-06-30 12:00:00') / 86400.0) / 365.25 / 100, 1.0) ELSE 0 END, 1, 0, 0, CASE WHEN address IS NULL THEN 0.0 ELSE 0.2 END, confidence, least(length(name) / 100.0, 1.0), least(len(string_split(name, ' ')) / 10.0, 1.0), 0], lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 100000) AS BIGINT) AS VARCHAR)), ',') AS features FROM entities""", "entities")
+def node_features(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    e = entity_rows(spark, sf_dir).withColumns({
+        "incorporation_date": F.when(F.col("entity_type") == "COMPANY", F.lit("2001-02-03").cast("timestamp")), "dissolution_date": F.lit(None).cast("timestamp"),
+        "phone_numbers": none, "email_addresses": none, "websites": none, "roles": none,
+    })
+    f = features.node_features(F.lit(AS_OF).cast("timestamp"), padding=0)
+    return e.select("entity_id", F.array_join(F.transform(f, lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string")), ",").alias("features"))
+
+
+def _edge_features_sql() -> str:
+    from kinledger.schema import RELATIONSHIP_TYPES
+
+    hot = ", ".join(f"CASE WHEN relationship_type = '{t}' THEN 1 ELSE 0 END" for t in RELATIONSHIP_TYPES)
+    return f"SELECT relationship_id, array_to_string(list_transform([{hot}, coalesce(ownership_pct, 0) / 100.0::DOUBLE, 1, 0.1::DOUBLE, 1], lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 100000) AS BIGINT) AS VARCHAR)), ',') AS features FROM relationships"
+
+
+@query(_edge_features_sql(), "relationships")
+def edge_features(spark, sf_dir):
+    r = edges(spark, sf_dir).withColumns({"confidence": F.lit(1.0), "temporal_valid_from": F.lit("2023-07-01 06:00:00").cast("timestamp"), "temporal_valid_to": F.lit(None).cast("timestamp")})
+    f = features.edge_features(F.lit(AS_OF).cast("timestamp"))
+    return r.select("relationship_id", F.array_join(F.transform(f, lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string")), ",").alias("features"))
+
+
+_DIST = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE) + 0.000001::DOUBLE) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE) + 0.000001::DOUBLE))))"
+
+
+@query(f"WITH t AS (SELECT CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, {_DIST.format(a='a.embedding', b='b.embedding')} AS d {_NEXT}) SELECT round(avg(y * d * d + (1 - y) * greatest(1 - d, 0) * greatest(1 - d, 0)), 7) AS loss FROM t")
+def contrastive_loss(spark, sf_dir):
+    p = _next_vectors(spark, sf_dir).withColumn("same", (F.col("label") == F.col("other_label")).cast("double"))
+    return gnn.contrastive_loss(p, "embedding", "other", "same").select(F.round("loss", 7).alias("loss"))
+
+
+@query(f"WITH t AS (SELECT {_DIST.format(a='a.embedding', b='b.embedding')} - {_DIST.format(a='a.embedding', b='c.embedding')} + 1 AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2) SELECT round(avg(greatest(x, 0)), 7) AS loss FROM t")
+def triplet_loss(spark, sf_dir):
+    e = base(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    c = e.select((F.col("vec_id") - 2).alias("vec_id"), F.col("embedding").alias("negative"))
+    rows = _next_vectors(spark, sf_dir).join(c, "vec_id")
+    return gnn.triplet_loss(rows, "embedding", "other", "negative").select(F.round("loss", 7).alias("loss"))
+
+
+def _graph_of_features(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = entity_rows(spark, sf_dir)
+    known = F.array(*[(F.col("entity_type") == t).cast("double") for t in ("COMPANY", "INDIVIDUAL", "GOVERNMENT")], F.length("name") / 100.0, F.col("confidence"), F.size("identifiers").cast("double"))
+    nodes = e.select(F.col("entity_id").alias("node_id"), known.alias("features"))
+    r = edges(spark, sf_dir).select(F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("dst")).distinct()
+    return nodes, r
+
+
+@query()
+def gnn_embeddings(spark, sf_dir):
+    nodes, r = _graph_of_features(spark, sf_dir)
+    h = gnn.embed(nodes, r, gnn.Weights.drawn(6, 16, 8, n_layers=2))
+    return h.select("node_id", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+
+
+@query()
+def gnn_attention(spark, sf_dir):
+    nodes, r = _graph_of_features(spark, sf_dir)
+    h = gnn.embed(nodes, r, gnn.Weights.drawn(6, 16, 8, n_layers=1, kind="gat"))
+    return h.select("node_id", F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+
+
+@query()
+def gnn_pair_scores(spark, sf_dir):
+    p = _next_vectors(spark, sf_dir)
+    s = gnn.PairScorer.drawn(64)
+    return p.select("vec_id", F.round(s.score(F.col("embedding"), F.col("other")), 6).alias("probability"), s.predict(F.col("embedding"), F.col("other")).alias("is_match"))
+
+
+@query("SELECT entity_type, CASE WHEN jurisdiction IS NULL THEN 'none' ELSE jurisdiction END AS jurisdiction, count(*) AS n, round(avg(confidence), 9) AS confidence FROM entities GROUP BY ROLLUP (entity_type, CASE WHEN jurisdiction IS NULL THEN 'none' ELSE jurisdiction END)", "entities")
+def entity_rollup(spark, sf_dir):
+    e = view(spark, sf_dir, "entities").withColumn("jurisdiction", F.coalesce("jurisdiction", F.lit("none")))
+    return e.rollup("entity_type", "jurisdiction").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("confidence"))
