@@ -106,8 +106,12 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(idx, val, begin)[0].astype(np.float64), -30, 30)))
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = RANK, epochs: int = 12, step: float = 0.05, decay: float = 1e-4, seed: int = 7) -> FactorisationMachine:
-        """AdaGrad on the logistic loss in small batches, in an order that the seed fixes."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = RANK, epochs: int | None = None, step: float = 0.05, decay: float = 1e-4, seed: int = 7) -> FactorisationMachine:
+        """AdaGrad on the logistic loss in small batches, in an order that the seed fixes.
+
+        Small samples are gone through more often: about 1200 steps, in 12 to 80 rounds.
+        """
+        epochs = epochs or min(80, max(12, -(-1200 * 64 // max(1, len(rows)))))
         good = sum(y for _, _, y in rows)
         bias = math.log((good + 1) / (len(rows) - good + 1))
         rng = np.random.default_rng(seed)
