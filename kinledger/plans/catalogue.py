@@ -63,10 +63,9 @@ def norm_name(spark, sf_dir):
     return view(spark, sf_dir, "entities").select("entity_id", normalize.normalize_name(F.col("name")).alias("norm_name"))
 
 
-@query(f"SELECT entity_id, {o.address('address')} AS norm_address, {o.swap('upper(address)', normalize.STREETS)} AS street FROM entities WHERE address IS NOT NULL", "entities")
+@query(f"SELECT entity_id, {o.address('address')} AS norm_address, {o.swap('upper(address)', normalize.STREETS)} AS street FROM (SELECT entity_id, coalesce(address, '') AS address FROM entities)", "entities")
 def norm_address(spark, sf_dir):
-    e = view(spark, sf_dir, "entities").filter("address IS NOT NULL")
-    return e.select("entity_id", normalize.normalize_address(F.col("address")).alias("norm_address"), normalize.standardize_street(F.col("address")).alias("street"))
+    return view(spark, sf_dir, "entities").select("entity_id", normalize.normalize_address(F.col("address")).alias("norm_address"), normalize.standardize_street(F.col("address")).alias("street"))
 
 
 
@@ -171,10 +170,14 @@ def embedding_cosine(spark, sf_dir):
     return _next_vectors(spark, sf_dir).select("vec_id", F.round(sim.cosine(F.col("embedding"), F.col("other")), 9).alias("similarity"))
 
 
-@query()
+@query(f"{_P} SELECT id1, id2, {o.soundex('name1')} AS code1, {o.soundex('name1')} = {o.soundex('name2')} AS same FROM pairs", "entities")
 def phonetic_pairs(spark, sf_dir):
-    p = pairs(spark, sf_dir)
-    return p.select("id1", "id2", sim.soundex(F.col("name1")).alias("code1"), sim.soundex_simple(F.col("name1")).alias("simple1"), sim.metaphone(F.col("name1")).alias("metaphone1"), sim.phonetic_match(F.col("name1"), F.col("name2")).alias("same"))
+    return pairs(spark, sf_dir).select("id1", "id2", sim.soundex(F.col("name1")).alias("code1"), sim.phonetic_match(F.col("name1"), F.col("name2")).alias("same"))
+
+
+@query()
+def phonetic_variants(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id1", sim.soundex_simple(F.col("name1")).alias("simple1"), sim.metaphone(F.col("name1")).alias("metaphone1"))
 
 
 @query()
@@ -236,9 +239,9 @@ def extract_attributes(spark, sf_dir):
 _ATTR = lambda p: f"nullif(regexp_extract(text, '({p})', 1), '')"
 
 
-@query(f"SELECT doc_id, {_ATTR(extract.EMAIL)} AS email, {_ATTR(extract.PHONE)} AS phone, {_ATTR(extract.ADDRESS)} AS address, {_ATTR(extract.EIN)} AS ein FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query(f"SELECT doc_id, {_ATTR(extract.EMAIL)} AS email, {_ATTR(extract.PHONE)} AS phone, {_ATTR(extract.ADDRESS)} AS address, {_ATTR(extract.EIN)} AS ein FROM documents")
 def extract_attributes_documents(spark, sf_dir):
-    return extract.attributes(base(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")))
+    return extract.attributes(base(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {_found_sql()}, {_DEDUP} SELECT doc_id, name, entity_type, confidence, 'rule_based' AS sources FROM deduped", "entity_docs")
@@ -467,7 +470,10 @@ def explain(spark, sf_dir):
     return out.select("id1", "id2", "decision", "explanation")
 
 
-@query()
+@query(f"""WITH n AS (SELECT entity_id, entity_type, {o.name('name')} AS bare, CASE WHEN address IS NOT NULL THEN {o.address('address')} END AS place, regexp_replace(ein, '[^0-9]', '', 'g') AS ein FROM entities),
+    k AS (SELECT DISTINCT entity_id, block FROM (SELECT entity_id, unnest([concat('id:', ein), CASE WHEN ein IS NULL THEN 'id:' END, concat('address:', place), CASE WHEN place IS NULL THEN 'address:' END, concat('name:', {o.title('bare')}), concat('sound:', {o.soundex("split_part(bare, ' ', 1)")}, ':', entity_type)]) AS block FROM n) WHERE block IS NOT NULL AND block NOT IN ('id:', 'address:')),
+    z AS (SELECT block FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200)
+    SELECT DISTINCT a.entity_id AS id1, b.entity_id AS id2 FROM k a JOIN k b ON a.block = b.block AND a.entity_id < b.entity_id WHERE a.block IN (SELECT block FROM z)""", "entities")
 def candidate_pairs(spark, sf_dir):
     found, _ = resolve.blocks(normalize.normalize_entity(entity_rows(spark, sf_dir)))
     return found
@@ -520,10 +526,10 @@ def llm_unavailable(spark, sf_dir):
     return base(spark, sf_dir, "customer").select("c_custkey", a["is_match"].alias("is_match"), a["confidence"].alias("confidence"), a["reasoning"].alias("reasoning"), a["recommendation"].alias("recommendation"))
 
 
-@query(r"""SELECT entity_id, concat_ws(chr(10), concat('Entity: ', name), concat('Type: ', entity_type), concat('Jurisdiction: ', jurisdiction) , CASE WHEN entity_type = 'COMPANY' THEN 'Incorporated: 2001-02-03' END, concat('Address: ', address), concat('Identifiers: ein: ', ein), CASE WHEN entity_type = 'COMPANY' THEN 'Owned by: A, B' END) AS context
-    FROM (SELECT entity_id, name, entity_type, address, ein, jurisdiction FROM entities WHERE jurisdiction IS NOT NULL)""", "entities")
+@query(r"""SELECT entity_id, concat_ws(chr(10), concat('Entity: ', name), concat('Type: ', entity_type), CASE WHEN jurisdiction IS NOT NULL THEN concat('Jurisdiction: ', jurisdiction) END, CASE WHEN entity_type = 'COMPANY' THEN 'Incorporated: 2001-02-03' END, CASE WHEN address IS NOT NULL THEN concat('Address: ', address) END, CASE WHEN ein IS NOT NULL THEN concat('Identifiers: ein: ', ein) END, CASE WHEN entity_type = 'COMPANY' THEN 'Owned by: A, B' END) AS context
+    FROM entities""", "entities")
 def context_text(spark, sf_dir):
-    e = entity_rows(spark, sf_dir).filter("jurisdiction IS NOT NULL").withColumn("incorporation_date", F.when(F.col("entity_type") == "COMPANY", F.lit("2001-02-03").cast("timestamp")))
+    e = entity_rows(spark, sf_dir).withColumn("incorporation_date", F.when(F.col("entity_type") == "COMPANY", F.lit("2001-02-03").cast("timestamp")))
     return e.select("entity_id", context.context_text(owners=F.when(F.col("entity_type") == "COMPANY", F.array(F.lit("A"), F.lit("B")))).alias("context"))
 
 

@@ -46,6 +46,15 @@ def state(e: str) -> str:
     return f"CASE WHEN {up} IN ({_quoted(n.STATES.values())}) THEN {up} ELSE coalesce(CASE {up} {cases} END, {e}) END"
 
 
+def soundex(e: str) -> str:
+    """For text that begins with a letter; other characters part equal codes, H and W don't."""
+    codes = lambda x: f"translate({x}, 'AEIOUYBFPVCGJKQSXZDTLMNR', '000000111122222222334556')"
+    first, rest = f"upper(substr({e}, 1, 1))", f"regexp_replace(regexp_replace(upper(substr({e}, 2)), '[^A-Z]', '0', 'g'), '[HW]', '', 'g')"
+    every = f"concat({codes(f'translate({first}, {chr(39)}HW{chr(39)}, {chr(39)}00{chr(39)})')}, {codes(rest)})"
+    once = reduce(lambda x, d: f"regexp_replace({x}, '{d}+', '{d}', 'g')", "123456", every)
+    return f"concat({first}, substr(concat(replace(substr({once}, 2), '0', ''), '000'), 1, 3))"
+
+
 def in_list(e: str, items) -> str:
     return f"coalesce({e} IN ({_quoted(items)}), false)"
 
