@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as Parquet in spark.checkpoint.dir, read back; deleted when the driver ends."""
@@ -16,8 +21,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="kinledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="kinledger-")
+            atexit.register(shutil.rmtree, _OWN[app], True)
+        folder = "file://" + _OWN[app]
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
