@@ -120,9 +120,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Near
 
     got = {r.bucket: r.n for r in train.select("text").mapInArrow(frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     df = np.array([got.get(k, 0) for k in range(BUCKETS)], np.float64)
-    # the rank's limit is applied before rows are dealt by language, so a language's task gets a bounded number from each other task
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    ids = train.select("lang", "doc_id", F.xxhash64("text").alias("t"), F.row_number().over(order).alias("rank")).filter(F.col("rank") <= sample).select("lang", "doc_id", "t").distinct()
+    # of a language with many rows, only those with a low hash are ranked: about four times the sample, whatever their number is
+    chance = F.pmod(F.xxhash64("doc_id", "t"), F.lit(1 << 40)) / float(1 << 40)
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    hashed = train.select("lang", "doc_id", F.xxhash64("text").alias("t")).join(F.broadcast(sizes), "lang").filter(chance * F.col("n") < 4.0 * sample + 100)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "t"))
+    ids = hashed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select("lang", "doc_id", "t").distinct()
     chosen = train.withColumn("t", F.xxhash64("text")).join(F.broadcast(ids), ["lang", "doc_id", "t"], "left_semi").dropDuplicates(["lang", "doc_id", "t"])
     rows = chosen.select("lang", "text").mapInArrow(count, "lang string, c binary").orderBy("lang", F.xxhash64("c")).collect()
     return NearestCentroid.fit(int(got.get(-1, 0)), df, [(r.lang, np.frombuffer(r.c, np.int32)) for r in rows], clusters)
