@@ -12,7 +12,8 @@ fingerprints, and points and queries go down it together, pruned by the same
 bounds, to leaves small enough to compare outright. So no pair within RADIUS is
 missed, whatever the sample was: it decides only how even the shards are.
 
-A shard returns a spanning forest of its links, never all pairs of a group, and the
+A shard with many queries is dealt to several tasks by blocks of its queries, so what
+a task holds is bounded. Each returns a spanning forest of its links, never all pairs of a group, and the
 components of all forests give each fingerprint's smallest reachable document.
 
 Defined results: null text is like empty text, fingerprint zero; a text of one or
@@ -37,8 +38,10 @@ from kinledger.llm.common import table, written
 from kinledger.llm.components import components
 from kinledger.llm.tokens import blocks
 
-#: Words in a shingle, differing bits of a link, fingerprints that the map of shards is drawn from, and fingerprints a shard has at about the most.
-SHINGLE, RADIUS, SAMPLE, SHARD = 3, 3, 4096, 25_000
+#: Words in a shingle, differing bits of a link, fingerprints that the map of shards is drawn from (a quarter as many shards at most).
+SHINGLE, RADIUS, SAMPLE = 3, 3, 16_384
+#: Fingerprints that should live in a shard, and routed rows that a task takes at about the most.
+SHARD, BLOCK = 25_000, 500_000
 #: Points and queries that are compared outright.
 LEAF = 192
 
@@ -164,10 +167,10 @@ class Forest:
                 self.kept.append((a, b))
 
 
-def shard_links(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+def shard_links(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, among_home: bool = True) -> list[tuple[int, int]]:
     """A spanning forest, as places in fps, of the pairs within radius of which one at least is at home.
 
-    fps are distinct. A point that is at home is a query as well.
+    fps are distinct. A point that is at home is a query as well, unless ``among_home`` is false.
     """
     forest = Forest(len(fps))
 
@@ -189,7 +192,7 @@ def shard_links(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> list
             d, e = _far(fps[points], v).astype(np.int64), _far(fps[asks], v).astype(np.int64)
             # what lies within half the radius of one point is linked all to all, by way of that point
             core = points[d <= radius // 2]
-            if len(core) > 1:
+            if among_home and len(core) > 1:
                 centre = core[int(np.argmin(_far(fps[core], v)))]
                 forest.link((int(c), int(centre)) for c in core if c != centre)
             bound = int(np.median(d))
@@ -200,11 +203,11 @@ def shard_links(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> list
             down(low, near, idle)
             points, asks, stuck = high, far, idle
 
-    down(np.flatnonzero(home), np.arange(len(fps)), 0)
+    down(np.flatnonzero(home), np.arange(len(fps)) if among_home else np.flatnonzero(~home), 0)
     return forest.kept
 
 
-def linked(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def linked(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) of distinct fingerprints ``prints`` (a written table of fp): a spanning forest of each shard."""
     spark = prints.sparkSession
     n = prints.count()
@@ -220,15 +223,21 @@ def linked(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample:
                 rows, leaf, home = shared.value.route(part.view(np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(part[rows]), pa.array(home)], ["leaf", "fp", "home"])
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fps = np.ascontiguousarray(pdf["fp"].to_numpy(np.int64))
         order = np.argsort(fps, kind="stable")
         fps, home = fps[order], pdf["home"].to_numpy(bool)[order]
-        pairs = np.array(shard_links(fps.view(np.uint64), home, radius), np.int64).reshape(-1, 2)
+        pairs = np.array(shard_links(fps.view(np.uint64), home, radius, key[1] == 0), np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": fps[pairs[:, 0]], "v": fps[pairs[:, 1]]})
 
-    routed = prints.mapInArrow(route, "leaf int, fp long, home boolean")
-    return routed.groupBy("leaf").applyInPandas(search, "u long, v long")
+    routed = written(prints.mapInArrow(route, "leaf int, fp long, home boolean"), "routed")
+    # a row per shard, of which there are a bounded number
+    asks = routed.groupBy("leaf").agg(F.count(F.when(~F.col("home"), 1)).alias("n")).select("leaf", F.ceil(F.greatest("n", F.lit(1)) / block).cast("int").alias("blocks"))
+    held = routed.join(F.broadcast(asks), "leaf")
+    own = held.filter("home").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = held.filter(~F.col("home")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = own.select("leaf", "block", "fp", "home").union(others.select("leaf", "block", "fp", "home"))
+    return dealt.groupBy("leaf", "block").applyInPandas(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
