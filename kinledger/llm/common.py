@@ -37,11 +37,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: it cuts the lineage,
     and a lost executor costs no recomputation of what stands before it."""
@@ -65,10 +60,21 @@ def n_words(text: Column) -> Column:
     return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+#: Rows that are broadcast, or written into a plan, at most.
+FEW = 10_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of n rows, marked for broadcast if they are few; else Spark chooses the join."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table of Python values as a literal of the plan itself."""
+    """A table of Python values: few of them are a literal of the plan itself."""
     import json
 
+    if len(rows) > FEW:
+        return spark.createDataFrame(rows, schema)
     kind = f"array<struct<{schema}>>"
     one = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("r"))
     return one.select("r.*")

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinledger.llm.common import table, written
@@ -261,8 +261,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat that id stay once, and rows without any id stay if their component has none with one.
     """
     found = near_duplicates(docs)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(_key(F.col("doc_id")).alias("key_")).distinct()
+    # one shuffle of the texts, by the id, serves the join and the choice among repeated ids
+    return docs.withColumn("key_", _key(F.col("doc_id"))).join(keep, "key_", "left_semi").dropDuplicates(["key_"]).select(*docs.columns)
+
+
+def _key(doc_id: Column) -> Column:
+    """The id, with a number for null, so that null joins null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
 QUERIES = {"op7_simhash": op7_simhash}

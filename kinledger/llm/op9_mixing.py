@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinledger.llm.common import inline, n_words, table, written
+from kinledger.llm.common import few, inline, n_words, table, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Unit of rates and of the iterations' sums, documents whose running sums are taken in one go, steps at most.
@@ -69,7 +69,7 @@ def solve(spark: SparkSession, counts: DataFrame, sources: list[dict]) -> dict[i
         rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"))
         x = F.col("size") / F.col("mean")
         words = F.col("n") * F.col("size")
-        got = counts.join(F.broadcast(state), "sid").groupBy("sid").agg(_whole(words * rate).alias("taken"), _whole(words * x * rate * (1 - rate / MOST)).alias("slope"))
+        got = counts.join(few(state, len(live)), "sid").groupBy("sid").agg(_whole(words * rate).alias("taken"), _whole(words * x * rate * (1 - rate / MOST)).alias("slope"))
         sums = {r.sid: (float(r.taken) / 65536, float(r.slope) / 65536) for r in got.collect()}
         still = []
         for s in live:
@@ -112,13 +112,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     sources = [{"sid": k, "source": r.source, "size": r.size, "target": t, "mean": max(1.0, r.size / max(1, r.n))} for k, (r, t) in enumerate(zip(found, goal))]
     total = sum(r.n for r in found)
     names = inline(spark, sources, "sid:int,source:string,size:long,target:double,mean:double").withColumnRenamed("size", "source_size")
-    # one row per source
-    known = rows.join(F.broadcast(names), rows["source"].eqNullSafe(names["source"])).drop("source")
+    known = rows.join(few(names, len(sources)), rows["source"].eqNullSafe(names["source"])).drop("source")
     counts = written(known.filter("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "counts")
     tilt = solve(spark, counts, sources)
     rates = inline(spark, [{"sid": k, "tilt": v} for k, v in tilt.items()], "sid:int,tilt:double")
     rate = F.when(F.col("tilt").isNull(), F.lit(float(MOST))).otherwise(_rate(F.col("tilt"), F.col("size"), F.col("mean")))
-    rated = known.join(F.broadcast(rates), "sid").withColumn("rate", F.round(rate * UNIT).cast("long"))
+    rated = known.join(few(rates, len(sources)), "sid").withColumn("rate", F.round(rate * UNIT).cast("long"))
     rated = rated.withColumn("run", F.pmod(F.xxhash64("doc_id", "t", "size"), F.lit(max(1, -(-total // RUN)))).cast("int"))
     per_run = rated.groupBy("sid", "run").agg(F.sum("rate").alias("n"))
     starts = per_run.select("sid", "run", (F.sum("n").over(Window.partitionBy("sid").orderBy("run")) - F.col("n")).alias("before"))
@@ -129,7 +128,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     # what is left over: one document a source takes more, or less, in part
     left = planned.groupBy("sid").agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
     room = F.when(F.col("left") > 0, (MOST - F.col("copies")) * F.col("size")).otherwise(F.col("copies") * F.col("size"))
-    offered = planned.join(F.broadcast(left.filter("left <> 0")), "sid").withColumn("room", room).filter("room > 0")
+    offered = planned.join(few(left.filter("left <> 0"), len(sources)), "sid").withColumn("room", room).filter("room > 0")
     fits = F.col("room") >= F.abs("left")
     pick = offered.groupBy("sid", "left").agg(
         F.min(F.when(fits, F.struct("room", "doc_id", "t", "uid"))).alias("best"), F.max(F.when(~fits, F.struct("room", "doc_id", "t", "uid"))).alias("most")
@@ -138,8 +137,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         F.coalesce("best.uid", "most.uid").alias("uid"),
         (F.signum("left") * F.least(F.abs("left"), F.coalesce("best.room", "most.room"))).cast("long").alias("part"),
     )
-    # one row per source
-    return planned.join(F.broadcast(chosen), "uid", "left").select(
+    return planned.join(few(chosen, len(sources)), "uid", "left").select(
         "doc_id", "t", "sid", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + F.coalesce("part", F.lit(0))).alias("taken")
     )
 
@@ -150,12 +148,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix has whole copies of it."""
-    plan = mixed(docs).groupBy("doc_id", "t").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    own = docs.dropDuplicates(["doc_id", "text"])
-    plan = plan.withColumnRenamed("doc_id", "plan_id")
-    both = own.join(plan, own["doc_id"].eqNullSafe(plan["plan_id"]) & (F.xxhash64(own["text"]) == plan["t"]))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return both.withColumn("copy_no_", times).select(*[own[c] for c in docs.columns])
+    null = F.lit(-(1 << 63)).cast("long")
+    named = lambda c: F.coalesce(c.cast("long"), null)
+    plan = mixed(docs).groupBy(named(F.col("doc_id")).alias("key_"), F.col("t").alias("text_")).agg(F.sum("copies").alias("copies_")).filter("copies_ > 0")
+    # one shuffle of the texts, by id and text, serves the choice among equal rows and the join
+    own = docs.withColumns({"key_": named(F.col("doc_id")), "text_": F.xxhash64("text")}).dropDuplicates(["key_", "text_"])
+    both = own.join(plan, ["key_", "text_"])
+    return both.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
 
 
 QUERIES = {"op9_mixing": op9_mixing}
