@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinledger.llm.common import table, written
+from kinledger.llm.common import inline, table, written
 
 #: Vectors of the fit, slices of a vector, codewords of a slice.
 SAMPLE, PARTS, WORDS = 12_000, 16, 256
@@ -190,11 +190,9 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float
 
     asked = stored.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     probing = asked.mapInArrow(route, "list int, block int, query_id long, asked binary")
-    many = F.lit(1)
-    for own, t in blocks.items():
-        if t > 1:
-            many = F.when(F.col("list") == own, F.lit(t)).otherwise(many)
-    dealt = stored.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), many).cast("int"))
+    # one row a list
+    many = inline(spark, [{"list": c, "blocks": t} for c, t in blocks.items()], "list:int,blocks:int")
+    dealt = stored.join(F.broadcast(many), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int")).drop("blocks")
     found = dealt.groupBy("list", "block").cogroup(probing.groupBy("list", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
