@@ -173,12 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisati
     return FactorisationMachine.fit([(np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32), int(r.quality > 0)) for r in rows])
 
 
-def scored(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds score and predicted; every column of docs stays, unless it has one of these names."""
+def scored(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds score and predicted under ``names``; every column of docs stays, unless it has one of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c not in names]
     with_n = "n_chars" in kept
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + ", score double, predicted int"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{names[0]}` double, `{names[1]}` int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, threshold: float = THRE
                 begin = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
                 s = shared.value.score(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), begin)
                 cols = [piece.column(c) for c in kept] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, [*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(cols, [*kept, *names])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -203,7 +203,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).filter("predicted = 1").select(*docs.columns)
+    return scored(docs, model, names=("_kl_score", "_kl_predicted")).filter("_kl_predicted = 1").select(*docs.columns)
 
 
 QUERIES = {"op1_quality": op1_quality}

@@ -9,7 +9,7 @@ writes to can hold it. Its layout (little endian):
     the ids, n_ids x width bytes
 
     Elias-Fano block: u64 n, low-bit width, upper-bit bytes, samples; low bits
-    packed; upper bits in unary; the position of every 64th one (u64 each)
+    packed; upper bits in unary; the position of every 64th one (u32 each)
 
 ``select(i)`` starts at the sample before the i-th one and counts ones, so an
 offset is found from about 2 + log2(universe / n) bits a document, without a table
@@ -55,7 +55,7 @@ class EliasFano:
         at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         unary[at] = 1
-        return cls(n, width, low, np.packbits(unary, bitorder="little"), at[::_STEP].astype("<u8"))
+        return cls(n, width, low, np.packbits(unary, bitorder="little"), at[::_STEP].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QQQQ", self.n, self.width, len(self.high), len(self.samples))
@@ -66,7 +66,7 @@ class EliasFano:
         n, width, n_high, n_samples = struct.unpack_from("<QQQQ", raw, at)
         at += 32
         parts = []
-        for kind, count in (("u1", (n * width + 7) // 8), ("u1", n_high), ("<u8", n_samples)):
+        for kind, count in (("u1", (n * width + 7) // 8), ("u1", n_high), ("<u4", n_samples)):
             parts.append(np.frombuffer(raw, kind, count, at))
             at += parts[-1].nbytes
         return cls(n, width, *parts), at

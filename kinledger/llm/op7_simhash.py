@@ -261,9 +261,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat that id stay once, and rows without any id stay if their component has none with one.
     """
     found = near_duplicates(docs)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(_key(F.col("doc_id")).alias("key_")).distinct()
+    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(_key(F.col("doc_id")).alias("_kl_key")).distinct()
     # one shuffle of the texts, by the id, serves the join and the choice among repeated ids
-    return docs.withColumn("key_", _key(F.col("doc_id"))).join(keep, "key_", "left_semi").dropDuplicates(["key_"]).select(*docs.columns)
+    return docs.withColumn("_kl_key", _key(F.col("doc_id"))).join(keep, "_kl_key", "left_semi").dropDuplicates(["_kl_key"]).select(*docs.columns)
 
 
 def _key(doc_id: Column) -> Column:

@@ -150,11 +150,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix has whole copies of it."""
     null = F.lit(-(1 << 63)).cast("long")
     named = lambda c: F.coalesce(c.cast("long"), null)
-    plan = mixed(docs).groupBy(named(F.col("doc_id")).alias("key_"), F.col("t").alias("text_")).agg(F.sum("copies").alias("copies_")).filter("copies_ > 0")
+    plan = mixed(docs).groupBy(named(F.col("doc_id")).alias("_kl_key"), F.col("t").alias("_kl_text")).agg(F.sum("copies").alias("_kl_copies")).filter("_kl_copies > 0")
     # one shuffle of the texts, by id and text, serves the choice among equal rows and the join
-    own = docs.withColumns({"key_": named(F.col("doc_id")), "text_": F.xxhash64("text")}).dropDuplicates(["key_", "text_"])
-    both = own.join(plan, ["key_", "text_"])
-    return both.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*docs.columns)
+    own = docs.withColumns({"_kl_key": named(F.col("doc_id")), "_kl_text": F.xxhash64("text")}).dropDuplicates(["_kl_key", "_kl_text"])
+    both = own.join(plan, ["_kl_key", "_kl_text"])
+    return both.withColumn("_kl_copy", F.explode(F.sequence(F.lit(1), F.col("_kl_copies").cast("int")))).select(*docs.columns)
 
 
 QUERIES = {"op9_mixing": op9_mixing}
