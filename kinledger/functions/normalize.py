@@ -41,20 +41,24 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _whole(word: str) -> str:
+    """Pattern of a word between characters that aren't of a word; it begins with the word itself, which is quick to miss."""
+    return rf"{word}(?<![\p{{L}}\p{{N}}_]{word})(?![\p{{L}}\p{{N}}_])"
+
+
 def _swap(c: Column, table: dict[str, str]) -> Column:
-    return reduce(lambda x, kv: F.regexp_replace(x, rf"(?U)\b{kv[0]}\b", kv[1]), table.items(), c)
+    return reduce(lambda x, kv: F.regexp_replace(x, _whole(kv[0]), kv[1]), table.items(), c)
 
 
 def title_case(c: Column) -> Column:
     """Upper case after anything that isn't a letter, lower case elsewhere."""
-    letters = F.split(c, "")
-    one = lambda x, i: F.when((i == 0) | ~F.substring(c, i, F.lit(1)).rlike(r"\p{L}"), F.upper(x)).otherwise(F.lower(x))
-    return F.when(c == "", "").otherwise(F.array_join(F.transform(letters, one), ""))
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), 0)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
 
 
 def normalize_name(c: Column) -> Column:
     """One pass over the suffixes in their order, punctuation out, business terms out, title case."""
-    x = reduce(lambda y, s: F.regexp_replace(y, rf"(?iU)\b{s}\b[.,]?\s*$", ""), LEGAL_SUFFIXES, stripped(_text(c)))
+    x = reduce(lambda y, s: F.regexp_replace(y, rf"(?iu){_whole(s)}[.,]?\s*$", ""), LEGAL_SUFFIXES, stripped(_text(c)))
     x = stripped(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
     kept = F.filter(F.split(x, " "), lambda w: ~F.upper(w).isin(BUSINESS_TERMS) & (w != ""))
     return title_case(F.array_join(kept, " "))
