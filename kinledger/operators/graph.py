@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinledger.sources.scratch import written
+
 HUNDRED = "CAST(100 AS DOUBLE)"
 
 
@@ -27,6 +29,25 @@ def all_within(edges: DataFrame) -> bool:
     return edges.filter(~F.coalesce("ownership_pct", F.lit(100.0)).between(0.0, 100.0)).isEmpty()
 
 
+def cyclic_part(edges: DataFrame, rounds: int = 20, worth: float = 0.05) -> DataFrame:
+    """Edges without most of those that lie on no cycle.
+
+    An edge from an entity that nothing leads to, or to one that nothing leaves, is on no
+    cycle. Such edges go in rounds, each written, while a round takes ``worth`` of them or more.
+    """
+    kept = written(edges, "edges")
+    n = kept.count()
+    for _ in range(rounds):
+        leads = kept.select(F.col("source_entity_id").alias("target_entity_id")).distinct()
+        led_to = kept.select(F.col("target_entity_id").alias("source_entity_id")).distinct()
+        kept = written(kept.join(leads, "target_entity_id", "left_semi").join(led_to, "source_entity_id", "left_semi").select(*edges.columns), "edges")
+        left = kept.count()
+        if n - left < worth * n or not left:
+            break
+        n = left
+    return kept
+
+
 def trails(edges: DataFrame, starts: DataFrame | None, depth: int, incoming: bool = True, least_pct: float | None = None, method: str = "cte") -> DataFrame:
     """All trails of 1 to ``depth`` edges: start_id, node, pct, edges, nodes, hops.
 
@@ -55,8 +76,6 @@ def trails(edges: DataFrame, starts: DataFrame | None, depth: int, incoming: boo
                 FROM walk w JOIN kl_hop h ON h.near = w.node
                 WHERE w.hops < {int(depth)} AND NOT array_contains(w.edges, h.edge) {prune}
             ) SELECT * FROM walk""")
-    from kinledger.sources.scratch import written
-
     keep = F.lit(True) if floor is None else F.col("pct") >= floor
     front = first.select(
         F.col("near").alias("start_id"), F.col("far").alias("node"), (F.lit(100.0) * F.col("share") / 100.0).alias("pct"), F.array("edge").alias("edges"), F.array("near", "far").alias("nodes"), F.lit(1).alias("hops")

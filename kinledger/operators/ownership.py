@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinledger.config import DEFAULTS, EngineConfig
 from kinledger.functions import risk
-from kinledger.operators.graph import of_types, trails
+from kinledger.operators.graph import cyclic_part, of_types, trails
 
 UBO_TYPES = ("OWNS", "CONTROLS", "UBO_OF", "SHAREHOLDER_OF")
 CYCLE_TYPES = ("OWNS", "CONTROLS", "SHAREHOLDER_OF")
@@ -33,8 +33,8 @@ def beneficial_owners(edges: DataFrame, entities: DataFrame, starts: DataFrame |
 
 
 def circular_ownership(edges: DataFrame, starts: DataFrame | None = None, depth: int = 10, limit: int = 10) -> DataFrame:
-    """Trails of two edges or more that lead back to their start."""
-    walked = trails(of_types(edges, CYCLE_TYPES), starts, depth, incoming=False).filter("node = start_id AND hops > 1")
+    """Trails of two edges or more that lead back to their start, walked on the graph's cyclic part alone."""
+    walked = trails(cyclic_part(of_types(edges, CYCLE_TYPES)), starts, depth, incoming=False).filter("node = start_id AND hops > 1")
     rows = walked.select("start_id", F.array_join("nodes", ">").alias("path"), F.array_join("edges", ">").alias("edge_path"), F.col("hops").alias("cycle_length"))
     return _top(rows, limit, "cycle_length", "edge_path").withColumn("risk_level", F.lit("HIGH"))
 
