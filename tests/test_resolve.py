@@ -45,6 +45,10 @@ def test_blocks_report_large_ones(spark):
     assert [r.block for r in large.collect() if r.block.startswith("address")] == ["address:same place"]
     pairs, large = resolve.blocks(spark.createDataFrame(rows, ENTITY))
     assert pairs.count() == 15
+    same = [(f"e{k}", f"N{k}", "COMPANY", [], {"ein": "1"}) for k in range(6)]
+    pairs, large = resolve.blocks(spark.createDataFrame(same, ENTITY), most=5)
+    assert {(r.id1, r.id2) for r in pairs.collect()} == {("e0", f"e{k}") for k in range(1, 6)}
+    assert [r.block[:5] for r in large.collect()] == ["sound"]
 
 
 def test_extraction(spark):
