@@ -15,6 +15,7 @@ from kinledger.config import DEFAULTS, EngineConfig
 from kinledger.functions.normalize import normalize_entity
 from kinledger.operators import extract, graph, ownership, resolve
 from kinledger.schema import ENTITY, ENTITY_TYPES
+from kinledger.session import ship
 from kinledger.sources import store
 
 _CHECKED_DEPTH = range(1, 21)
@@ -27,6 +28,9 @@ class Engine:
     edges: DataFrame
     config: EngineConfig = field(default=DEFAULTS)
 
+    def __post_init__(self) -> None:
+        ship(self.spark)
+
     def health(self) -> DataFrame:
         counts = [("entities", self.entities), ("edges", self.edges)]
         rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in counts]
