@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinledger.session import ship
+
 #: One word, as every contract of this subpackage reads it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,6 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a folder of its own; a
     cluster without it is refused, since its executors share no local disk.
     """
+    ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from kinledger.llm.common import held_out, table
 from kinledger.llm.tokens import blocks
+from kinledger.session import ship
 
 #: Labelled rows that the fit takes at most.
 SAMPLE = 6000
@@ -202,6 +203,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
+    ship(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model, names=("_kl_score", "_kl_predicted")).filter("_kl_predicted = 1").select(*docs.columns)
 

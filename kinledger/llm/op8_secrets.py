@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kinledger.llm.common import table
 from kinledger.llm.tokens import blocks
+from kinledger.session import ship
 
 #: Kinds in the order that ties of a start are put in.
 KINDS = ("assign", "access", "hex", "guess")
@@ -187,6 +188,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every span found is replaced in the text, and n_chars follows; every row stays."""
+    ship(spark)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
