@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 from kinledger.llm.common import table, written
 from kinledger.llm.tokens import blocks, tokenizer
 
+#: Pieces that a worker remembers.
+REMEMBER = 600_000
+
 _MAGIC, _STEP = b"KLEF1", 64
 
 
@@ -132,7 +135,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, most: int
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, seq, before = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        tok, part, seq, before = tokenizer(tokenizer_path, REMEMBER), TaskContext.get().partitionId(), 0, 0
         width = 2 if max(tok.tok.get_vocab_size(True) - 1, end_id) < 1 << 16 else 4
         held: list[tuple] = []
 
