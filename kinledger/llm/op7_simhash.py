@@ -16,6 +16,13 @@ A shard with many queries is dealt to several tasks by blocks of its queries, so
 a task holds is bounded. Each returns a spanning forest of its links, never all pairs of a group, and the
 components of all forests give each fingerprint's smallest reachable document.
 
+The pipeline's stage links texts whose sets of 5-word shingles have a Jaccard similarity of SIMILAR or
+more. Near fingerprints are too few for that (such pairs differ in about 10 of 64 bits), so candidates
+come from the trees over 5-word fingerprints and from BANDS bands of ROWS least hashes each, which miss a pair of
+just 0.8 with a chance of 3 in a million; every link is then checked on the sets themselves. Members of a
+large candidate group are dealt to bounded blocks; those that the group's largest component has
+not taken are then compared with every block.
+
 Defined results: null text is like empty text, fingerprint zero; a text of one or
 two words has the one shingle of all its words; repeated rows and ids stay; a null
 doc_id gets a component but is never its name unless no id is known; no rows give no rows; further
@@ -25,7 +32,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,30 +51,40 @@ SHINGLE, RADIUS, SAMPLE = 3, 3, 16_384
 SHARD, BLOCK = 25_000, 500_000
 #: Points and queries that are compared outright.
 LEAF = 192
+#: The stage's rule: words in a shingle and Jaccard similarity of a link; its bands of ROWS least hashes, and texts that a task compares outright.
+COPY_SHINGLE, SIMILAR, BANDS, ROWS, GROUP = 5, 0.8, 24, 4, 256
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingles(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in their order, in parts, so that memory is bounded."""
     words = _WORD.findall((text or "").encode("utf-8", "replace").translate(_LOWER))
     if not words:
-        return 0
+        return
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     n = max(1, len(words) - shingle + 1)
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    total, done = np.zeros(64, np.int64), 0
-    while done < n:  # in parts, so that memory is bounded
-        part = range(done, min(n, done + 65536))
-        h = np.array([digest(flat[starts[k] : stops[k]], 42) for k in part], "<u8")
+    for done in range(0, n, 65536):
+        yield np.array([digest(flat[starts[k] : stops[k]], 42) for k in range(done, min(n, done + 65536))], "<u8")
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for h in parts:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        done = part.stop
+        n += len(h)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return _majority(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint's 64 bits as a long."""
 
@@ -255,13 +272,139 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the document with its smallest doc_id stays.
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64), rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_FLIP, _TIMES = _tables()
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles of the stage's rule, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *shingles(text, COPY_SHINGLE)]))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes of a set; none for the empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(found), 2048):
+        least = np.minimum(least, ((found[at : at + 2048, None] ^ _FLIP) * _TIMES).min(0))
+    keys = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64)
+
 
-    Rows that repeat that id stay once, and rows without any id stay if their component has none with one.
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, node (a hash of the set of shingles), fp and keys (of its bands) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in blocks(batch, "text"):
+                nodes, fps, keys = [], [], []
+                for text in piece.column("text"):
+                    parts = list(shingles(text.as_py(), COPY_SHINGLE))
+                    found = np.unique(np.concatenate([np.zeros(0, "<u8"), *parts]))
+                    nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                    fps.append(_majority(parts))
+                    keys.append(bands(found))
+                longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), piece.column("text_key"), longs(nodes), longs(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                    ["doc_id", "text_key", "node", "fp", "keys"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, keys array<long>")
+
+
+def similar_links(sets: list[np.ndarray], member: np.ndarray, asks: np.ndarray, root: list | None = None) -> list[tuple[int, int]]:
+    """A spanning forest, as places in sets, of the links between ``asks`` and ``member`` (places too).
+
+    Places with an equal ``root`` are linked beforehand and not compared.
     """
-    found = near_duplicates(docs)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(_key(F.col("doc_id")).alias("_kl_key")).distinct()
+    forest, first = Forest(len(sets)), {}
+    if root is not None:
+        forest.link((first.setdefault(r, k), k) for k, r in enumerate(root))
+        forest.kept.clear()
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(member, size[member])
+    values = np.concatenate([np.zeros(0, "<u8"), *(sets[k] for k in member)])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for k in asks.tolist():
+        low, high = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((shared > 0) & (shared >= SIMILAR * (size + size[k] - shared) - 1e-9))
+        forest.link((k, j) for j in near.tolist() if j != k)
+    return forest.kept
+
+
+def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) found in each (group, block) of ``rows`` (group, block, node, member, ask, root)."""
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", kind="stable")
+        nodes, found = pdf["node"].to_numpy(np.int64), [np.frombuffer(b, "<u8") for b in pdf["found"]]
+        kept = similar_links(found, np.flatnonzero(pdf["member"]), np.flatnonzero(pdf["ask"]), pdf["root"].tolist())
+        pairs = np.array(kept, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": nodes[pairs[:, 0]], "v": nodes[pairs[:, 1]]})
+
+    return rows.join(sets, "node").groupBy("group", "block").applyInPandas(search, "u long, v long")
+
+
+def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, text_key and root (of its component) of every row of docs, by the stage's rule."""
+    made = written(described(docs), "described")
+    nodes = written(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.first("keys").alias("keys")), "nodes")
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    near = written(linked(prints.select("fp")), "near")
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    edges = near.join(of("u"), "u").join(of("v"), "v").select(F.xxhash64(F.lit("fp"), "u", "v").alias("group"), F.explode(F.array("u_node", "v_node")).alias("node"))
+    # equal fingerprints are candidates as well
+    same = nodes.select(F.xxhash64(F.lit("fp"), "fp").alias("group"), "node")
+    belongs = written(nodes.select(F.explode("keys").alias("group"), "node").union(edges).union(same), "belongs")
+    groups = belongs.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).filter("n > 1")
+    # groups of the same members are one
+    groups = written(groups.groupBy("n", "lead", "all").agg(F.min("group").alias("group")).select("group", "lead", F.ceil(F.col("n") / group).cast("int").alias("blocks")), "groups")
+    members = written(belongs.join(groups, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
+    texts = docs.select(_text_key().alias("text_key"), "text").join(wanted, "text_key").dropDuplicates(["node"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in blocks(batch, "text"):
+                found = [shingle_set(t.as_py()).tobytes() for t in piece.column("text")]
+                yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(found, pa.binary())], ["node", "found"])
+
+    sets = written(texts.select("node", "text").mapInArrow(read, "node long, found binary"), "sets")
+    # the first of a group stands in each of its blocks
+    leads = groups.filter("blocks > 1").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("node"))
+    rows = members.select("group", "block", "node").union(leads.select("group", "block", "node")).distinct()
+    links = written(_compared(rows.select("*", F.lit(True).alias("member"), F.lit(True).alias("ask"), F.col("node").alias("root")), sets), "links")
+    roots = components(links)
+    large = members.filter("blocks > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = written(large.select("group", "block", "blocks", "node", "root"), "large")
+    if large.limit(1).count():
+        sizes = large.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+        open_ = large.join(sizes, "group")
+        stray = open_.filter("root <> main").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asks = stray.select("group", F.col("at").alias("block"), "node", (F.col("at") == F.col("block")).alias("member"), F.lit(True).alias("ask"), "root")
+        held = open_.filter("root = main").select("group", "block", "node", F.lit(True).alias("member"), F.lit(False).alias("ask"), "root")
+        roots = components(links.union(_compared(asks.union(held), sets)))
+    return made.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component, the document with its smallest doc_id stays."""
+    keep = near_copies(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select(_key(F.col("doc_id")).alias("_kl_key")).distinct()
     # one shuffle of the texts, by the id, serves the join and the choice among repeated ids
     return docs.withColumn("_kl_key", _key(F.col("doc_id"))).join(keep, "_kl_key", "left_semi").dropDuplicates(["_kl_key"]).select(*docs.columns)
 

@@ -88,6 +88,36 @@ def test_documents(spark):
     assert o7.near_duplicates(docs.filter("false")).count() == 0
 
 
+def five(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("group", [4, 256])
+def test_stage_finds_edited_copies(spark, group):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        base = [f"w{int(x)}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(6 if k else 40):
+            words = list(base)
+            for at in rng.choice(300, int(rng.integers(1, 14)), replace=False):
+                words[at] = f"v{int(rng.integers(5000))}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [five(t) for _, t in rows]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    got = o7.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), group).collect()
+    least = {}
+    for r in got:
+        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    assert {r.doc_id: least[r.root] for r in got} == dict(enumerate(want))
+
+
 @pytest.mark.parametrize("pairs", [[(1, 2), (2, 3), (3, 4), (4, 5), (9, 8)], [(k, k + 1) for k in range(60)], [(0, k) for k in range(1, 80)], []])
 def test_components(spark, pairs):
     edges = spark.createDataFrame(pairs, "u long, v long")
