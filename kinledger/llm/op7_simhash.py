@@ -403,10 +403,13 @@ def _text_key() -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the document with its smallest doc_id stays."""
-    keep = near_copies(docs).groupBy("root").agg(F.min("doc_id").alias("doc_id")).select(_key(F.col("doc_id")).alias("_kl_key")).distinct()
-    # one shuffle of the texts, by the id, serves the join and the choice among repeated ids
-    return docs.withColumn("_kl_key", _key(F.col("doc_id"))).join(keep, "_kl_key", "left_semi").dropDuplicates(["_kl_key"]).select(*docs.columns)
+    """Pipeline stage: of each component, the row with its smallest doc_id stays, of equal or no ids that with the smallest text key."""
+    keep = near_copies(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    keep = keep.select(_key(F.col("k.doc_id")).alias("_kl_key"), F.col("k.none").alias("_kl_none"), F.col("k.text_key").alias("_kl_text"))
+    # one shuffle of the texts, by id and text, serves the join and the choice among equal rows
+    keys = ["_kl_key", "_kl_none", "_kl_text"]
+    keyed = docs.withColumns({"_kl_key": _key(F.col("doc_id")), "_kl_none": F.col("doc_id").cast("long").isNull(), "_kl_text": _text_key()})
+    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def _key(doc_id: Column) -> Column:

@@ -118,6 +118,14 @@ def test_stage_finds_edited_copies(spark, group):
     assert {r.doc_id: least[r.root] for r in got} == dict(enumerate(want))
 
 
+def test_stage_keeps_distinct_texts_of_null_and_repeated_ids(spark):
+    words = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (None, words("c")), (4, words("d")), (4, words("e")), (2, words("e")), (-(1 << 63), words("f")), (9, words("a") + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text) for r in o7.stage(spark, docs, "").collect())
+    assert kept == sorted((str(d), t) for d, t in [(9, words("a") + " x"), (None, words("b")), (None, words("c")), (4, words("d")), (2, words("e")), (-(1 << 63), words("f"))])
+
+
 @pytest.mark.parametrize("pairs", [[(1, 2), (2, 3), (3, 4), (4, 5), (9, 8)], [(k, k + 1) for k in range(60)], [(0, k) for k in range(1, 80)], []])
 def test_components(spark, pairs):
     edges = spark.createDataFrame(pairs, "u long, v long")
