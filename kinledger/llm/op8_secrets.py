@@ -1,8 +1,8 @@
 """Secret scans: patterns, and the guess cost of values in a credential's context.
 
 Three patterns give the base spans (kinds assign, access, hex). Beyond them, values
-that stand where a credential stands (after pwd, passphrase, auth, private key and the
-like, or in a URL's user part) are kept as kind ``guess`` if they are costly to guess. That cost
+that stand where a credential stands (after password, secret, token, pwd, auth, private key and the
+like, also within longer names, or in a URL's user part) are kept as kind ``guess`` if they are costly to guess. That cost
 is the least, over all ways to cut a value into spans, of the sum of the spans'
 costs, in powers of ten: common words by rank with their spelling variants, dates by the years
 they span, repeats by their unit and count, keyboard walks and sequences by start,
@@ -38,9 +38,13 @@ REDACTED = "[REDACTED]"
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: A credential's name, perhaps with parts after it (SECRET_ACCESS_KEY), and what parts it from its value; a scheme's word is passed over.
 _CONTEXT = re.compile(
-    r"""(?ai)\b(?:pwd|pass(?:phrase|code)?|credentials?|auth(?:orization)?|private[_ -]?key|access[_ -]?key|client[_ -]?key|bearer)["']?\s{0,4}(?:[:=]|\bis\b|\bbearer\b)\s{0,4}["']?([^\s"'<>,;]+)"""
+    r"""(?ai)(?:password|passwd|secret|token|api[_ -]?key|(?<![A-Za-z0-9])(?:pwd|pass(?:phrase|code)?|credentials?|auth(?:orization)?|private[_ -]?key|access[_ -]?key|client[_ -]?key|bearer))"""
+    r"""(?:[_-][A-Za-z0-9]{1,24}){0,4}["']?\s{0,4}(?::=|=>|[:=]|\bis\b|\bbearer\b)\s{0,4}["']?(?:(?:bearer|basic|digest|token)\s{1,4}["']?)?([^\s"'<>,;]+)"""
 )
+#: What may follow a value's first part up to a blank or quote, unless it names another field.
+_REST = re.compile(r"""(?a)[<>,;][^\s"'=:]*(?![^\s"'])""")
 _URL = re.compile(r"(?a)://[^\s:/@]+:([^\s:/@]+)@")
 
 #: Very common password words by rank, and keyboard rows and sequences.
@@ -130,21 +134,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Costly values in a credential's context that no base span touches."""
+    """Costly values in a credential's context; of one that base spans cover in part, what they leave."""
     low, out = text.lower(), []
-    if any(w in low for w in ("pwd", "pass", "credential", "auth", "key", "bearer")):
-        out += [m.span(1) for m in _CONTEXT.finditer(text)]
+    if any(w in low for w in ("pwd", "pass", "credential", "auth", "key", "bearer", "secret", "token")):
+        at = 0
+        while m := _CONTEXT.search(text, at):
+            a, b = m.span(1)
+            out.append((a, b))
+            if (rest := _REST.match(text, b)) and not _secret(text[a:b]):
+                out.append((a, a + len(text[a : rest.end()].rstrip("<>,;."))))
+            at = a  # a value may be a further context's name
     if "://" in text and "@" in text:
         out += [m.span(1) for m in _URL.finditer(text)]
     kept: list[tuple[int, int, str]] = []
     taken = sorted((a, b) for a, b, _ in base)
-    for a, b in sorted(set(out)):
-        clash = any(x < b and a < y for x, y in taken) or (kept and a < kept[-1][1])
-        if b - a >= 6 and not clash and _costly(text[a:b]):
-            kept.append((a, b, "guess"))
+    for a, b in sorted(set(out), key=lambda s: (s[0], -s[1])):
+        if (kept and a < kept[-1][1]) or not _secret(text[a:b]):
+            continue
+        for x, y in [*((x, y) for x, y in taken if x < b and a < y), (b, b)]:
+            if a < x:
+                kept.append((a, x, "guess"))
+            a = max(a, y)
     return kept
 
 
+def _secret(value: str) -> bool:
+    return len(value) >= 6 and _costly(value)
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 

@@ -107,6 +107,24 @@ def test_added_spans():
     assert add("the pass was long and the key is here") == []
 
 
+@pytest.mark.parametrize("text, value", [
+    ('password: "X#9vQ!2m$Lz7"', "X#9vQ!2m$Lz7"), ("secret: p@9zKq!mWx7", "p@9zKq!mWx7"), ("password is Tr0ub4dor&3xQz!", "Tr0ub4dor&3xQz!"), ("DB_PASS=x9$Kq!2mZp7", "x9$Kq!2mZp7"), ("MYSQL_PWD=x9$Kq!2mZp7", "x9$Kq!2mZp7"),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG", "wJalrXUtnFEMI/K7MDENG"), ("Authorization: Bearer abc7Q2mZp9wXk", "abc7Q2mZp9wXk"), ("authorization: Basic Ym9iOng5S3EybQ==", "Ym9iOng5S3EybQ=="),
+    ("passwd=ab,Q2;mZp9w$Xk next", "ab,Q2;mZp9w$Xk"), ("token_v2 = q7#Zp2!mXw9", "q7#Zp2!mXw9"), ("pwd=secret_token=q7#Zp2!mXw9", "q7#Zp2!mXw9"),
+])
+def test_secret_in_context_is_replaced(text, value):
+    base = o8.base_spans(text)
+    out = o8.redacted(text, base + o8.added_spans(text, base))
+    assert value in text and value not in out and not any(value[k:] in out for k in range(len(value) - 4))
+
+
+def test_rest_of_a_base_value_is_replaced():
+    text = "password=abcdef#9vQ!2mLz7 end"
+    base = o8.base_spans(text)
+    spans = base + o8.added_spans(text, base)
+    assert o8.redacted(text, spans) == "[REDACTED][REDACTED] end" and o8._joined(base) == plain_base(text)
+
+
 def test_guess_cost():
     costs = [o8.guess_cost(v) for v in ("password", "P@ssw0rd1", "qwerty123", "x9$Kq!2mZp")]
     assert costs == sorted(costs) and costs[0] == 0 and o8.guess_cost("") == 0
