@@ -9,7 +9,9 @@ nearest within the fit's sample, measured there by brute force. A list is search
 bounded size, so a list that holds a third of all rows is many tasks' work. In each
 block a table of squared distances from the query's residual to every codeword gives all approximate
 distances by look-ups; the DEEP nearest of the block (ties to smaller vec_id) are
-ranked anew by exact distances on the original vectors, in double precision.
+ranked anew by exact distances on the original vectors, in double precision, and so is every
+other vector that its approximate distance less its own quantisation error does not
+put beyond the k-th of them. So a probed list's k nearest are exact.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do vectors of other than the most frequent length (of two,
@@ -84,11 +86,14 @@ class Quantiser:
         ranks = np.take_along_axis(place, own[near], 1)
         return int(np.quantile(ranks, reach, method="higher")) + 1 if ranks.size else 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes, and distance from what the codes stand for, of each row."""
         x = x.astype(np.float32)
         own = _nearest(x, self.coarse)
         rest = x - self.coarse[own]
-        return own, np.stack([_nearest(rest[:, a:b], c) for c, a, b in zip(self.books, self.cuts, self.cuts[1:])], 1).astype(np.uint8)
+        codes = np.stack([_nearest(rest[:, a:b], c) for c, a, b in zip(self.books, self.cuts, self.cuts[1:])], 1).astype(np.uint8)
+        stands = np.concatenate([c[codes[:, k]] for k, c in enumerate(self.books)], 1)
+        return own, codes, np.sqrt(((rest - stands).astype(np.float64) ** 2).sum(1))
 
     def tables(self, queries: np.ndarray, own: int) -> np.ndarray:
         """Squared distances of each query's residual to each codeword: queries x parts x words."""
@@ -113,20 +118,20 @@ def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
 
 
 def index(rows: DataFrame, q: Quantiser) -> DataFrame:
-    """list, vec_id, codes and vector (its components' bytes) of every row."""
+    """list, vec_id, codes, error (of the codes) and vector (its components' bytes) of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(q)
     kind = _kind(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"), kind)
-            own, codes = shared.value.encode(x)
+            own, codes, error = shared.value.encode(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())],
-                ["list", "vec_id", "codes", "vector"],
+                [pa.array(own.astype(np.int32)), batch.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([v.tobytes() for v in x], pa.binary())],
+                ["list", "vec_id", "codes", "error", "vector"],
             )
 
-    return rows.mapInArrow(run, "list int, vec_id long, codes binary, vector binary")
+    return rows.mapInArrow(run, "list int, vec_id long, codes binary, error double, vector binary")
 
 
 def _kind(rows: DataFrame) -> np.dtype:
@@ -170,6 +175,7 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float
             ids = candidates["vec_id"].to_numpy()
             codes = np.frombuffer(b"".join(candidates["codes"]), np.uint8).reshape(len(ids), -1)
             x = np.frombuffer(b"".join(candidates["vector"]), kind).reshape(len(ids), -1).astype(np.float64)
+            error, size = candidates["error"].to_numpy(), (x**2).sum(1)
             asks = asking["query_id"].to_numpy()
             y = np.frombuffer(b"".join(asking["asked"]), kind).reshape(len(asks), -1).astype(np.float64)
             for at in range(0, len(asks), 128):
@@ -184,6 +190,13 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float
                         top = np.argsort(np.where(ids == own, np.inf, mine), kind="stable")[:deep]
                         top = top[ids[top] != own]
                     exact = np.sqrt(((x[top] - y[at + j]) ** 2).sum(1))
+                    # the rest that may be as near as the k-th; the slack is for sums in single precision
+                    bound = np.partition(exact, k - 1)[k - 1] if len(exact) >= k else np.inf
+                    slack = 1e-4 * (size + (y[at + j] ** 2).sum())
+                    may = (np.sqrt(np.maximum(mine - slack, 0)) - error <= bound) & (ids != own)
+                    may[top] = False
+                    more = np.flatnonzero(may)
+                    top, exact = np.concatenate([top, more]), np.concatenate([exact, np.sqrt(((x[more] - y[at + j]) ** 2).sum(1))])
                     best = np.lexsort((ids[top], exact))[:k]
                     out.append(pd.DataFrame({"query_id": own, "vec_id": ids[top][best], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})

@@ -167,6 +167,25 @@ def test_nearest(spark):
     assert [f[1] for f in sorted(got[100])] == list(range(101, 111))
 
 
+def test_nearest_within_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(o5, "SAMPLE", 300)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x[3000:5000] = x[3000] + 0.01 * rng.normal(size=(2000, 64))
+    x = x[rng.permutation(6000)].astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in o5.nearest(o5.usable(df), reach=1.0, deep=12).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits, xd = 0, x.astype(float)
+    for q, found in got.items():
+        d = np.sqrt(((xd - xd[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(6000), d))[:10].tolist()) & found)
+    print("recall", hits / (10 * len(got)))
+    assert len(got) == 60 and hits / (10 * len(got)) > 0.98
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 0.1]), (100, [1.0, 0.1])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in o5.nearest(o5.usable(df)).collect())
