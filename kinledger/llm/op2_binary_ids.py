@@ -17,7 +17,7 @@ of 64-bit offsets.
 
 Defined results: null or empty text is the end id alone; null doc_ids come first
 and read back as null; repeated doc_ids and equal rows all stay, ordered by text
-hash within an id; no rows give no segments; further columns are not read.
+hash within an id (equal rows too are dealt to several parts where they are many); no rows give no segments; further columns are not read.
 """
 
 from __future__ import annotations
@@ -170,9 +170,9 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, most: int
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange("doc_id", "tie", "row")
+        .sortWithinPartitions("doc_id", "tie", "row")
         .select("doc_id", "text")
     )
     return ordered.mapInArrow(encode, "part int, seq int, before long, n_docs long, n_ids long, body binary")

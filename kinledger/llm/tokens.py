@@ -6,12 +6,14 @@ its space-separated pieces, each with its space in front, and equal pieces have
 equal ids. Pieces are found and numbered by Arrow, distinct pieces that were not
 met before go through the tokenizers library, and ids are gathered by numpy.
 A text with any other spacing (runs of blanks, blanks at an end or next to a line
-break) goes through the library whole.
+break), or with the string of one of the file's added tokens (<|endoftext|> and the like, which
+the library reads as that token), goes through the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.remember = remember
+        added = [re.escape(t.content) for _, t in sorted(self.tok.get_added_tokens_decoder().items())]
+        self.unsafe = "|".join([_UNSAFE, *added])
         self.memo: dict[str, bytes] = {}
         # a mark that stands alone as one id, put between pieces so that one call encodes many of them
         self.mark, self.mark_id = None, None
@@ -79,7 +82,7 @@ class WordTokenizer:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one more entry than texts)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        unsafe = pc.match_substring_regex(texts, self.unsafe)
         lists = pc.split_pattern(pc.if_else(unsafe, pa.scalar("", pa.large_string()), texts), " ")
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
