@@ -1,51 +1,24 @@
-"""Shared plumbing of the training-data operators: scratch tables, inputs, hashes."""
+"""Shared plumbing of the training-data operators: scratch tables, inputs, hashes, joins on hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinledger.session import ship
+from kinledger.sources import scratch
 
 #: One word, as every contract of this subpackage reads it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Folders of local sessions that name none, by application.
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a folder of its own; a
-    cluster without it is refused, since its executors share no local disk.
-    """
-    ship(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="kinledger-")
-        atexit.register(shutil.rmtree, _OWN[app], True)
-    return "file://" + _OWN[app]
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """New path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    """New path in the folder that driver and executors share, deleted when the driver ends."""
+    ship(spark)
+    return scratch.path(spark, label)
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -89,3 +62,41 @@ def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     kind = f"array<struct<{schema}>>"
     one = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("r"))
     return one.select("r.*")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with a number after it where ``df`` has such a column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        out.append(next(n for n in itertools.chain([name], (f"{name}_{k}" for k in itertools.count())) if n.lower() not in taken))
+        taken.add(out[-1].lower())
+    return out
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_key(df: DataFrame) -> Column:
+    """Hash of a whole row; rows that share it, their id and their text hash are taken for equal rows."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") if _hashable(f.dataType) else F.to_json(F.struct(f"`{f.name}`")) for f in df.schema.fields])
+
+
+#: Rows of one key that a task joins at about the most.
+HOT = 100_000
+
+
+def join_hot(rows: DataFrame, named: DataFrame, key: str, how: str = "inner", most: int = HOT) -> DataFrame:
+    """rows (a written table) joined with ``named`` (one row a key) by ``key``, a key of over ``most`` rows in several tasks.
+
+    Such keys, of which there are fewer than rows / ``most``, are counted beforehand and broadcast.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("deals"))
+    deals, deal = F.coalesce("deals", F.lit(1)), "deal"
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(hot), key, "left").withColumn(deal, F.pmod("row", deals).cast("int")).drop("deals", "row")
+    copies = named.join(F.broadcast(hot), key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    return dealt.join(copies, [key, deal], how).drop(deal)

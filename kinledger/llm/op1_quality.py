@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinledger.llm.common import held_out, table
+from kinledger.llm.common import free_names, held_out, table
 from kinledger.llm.tokens import blocks
 from kinledger.session import ship
 
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisati
 def scored(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds score and predicted under ``names``; every column of docs stays, unless it has one of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     with_n = "n_chars" in kept
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", `{names[0]}` double, `{names[1]}` int"
 
@@ -192,7 +192,7 @@ def scored(docs: DataFrame, model: FactorisationMachine, threshold: float = THRE
                 cols = [piece.column(c) for c in kept] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, [*kept, *names])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +202,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go; every other row stays, with all its columns."""
     ship(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model, names=("_kl_score", "_kl_predicted")).filter("_kl_predicted = 1").select(*docs.columns)
+    names = free_names(docs, "kl_score", "kl_predicted")
+    return scored(docs, model, names=tuple(names)).filter(F.col(names[1]) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 QUERIES = {"op1_quality": op1_quality}

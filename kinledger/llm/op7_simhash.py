@@ -12,8 +12,9 @@ fingerprints, and points and queries go down it together, pruned by the same
 bounds, to leaves small enough to compare outright. So no pair within RADIUS is
 missed, whatever the sample was: it decides only how even the shards are.
 
-A shard with many queries is dealt to several tasks by blocks of its queries, so what
-a task holds is bounded. Each returns a spanning forest of its links, never all pairs of a group, and the
+A shard's own fingerprints are dealt to blocks of HOMES at most, and what asks each block (queries from
+other shards and the shard's later blocks) to blocks of BLOCK, so what a task holds is bounded even
+where the map has reached its largest size. Each returns a spanning forest of its links, never all pairs of a group, and the
 components of all forests give each fingerprint's smallest reachable document.
 
 The pipeline's stage links texts whose sets of 5-word shingles have a Jaccard similarity of SIMILAR or
@@ -26,13 +27,15 @@ not taken are then compared with every block.
 Defined results: null text is like empty text, fingerprint zero; a text of one or
 two words has the one shingle of all its words; repeated rows and ids stay; a null
 doc_id gets a component but is never its name unless no id is known; no rows give no rows; further
-columns are not read.
+columns are not read by the query. The stage keeps one row of each component whatever its id is, all its columns
+included: the least by id (null last), text hash and hash of the whole row, so that reruns agree.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,14 +44,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinledger.llm.common import table, written
+from kinledger.llm.common import free_names, join_hot, row_key, table, written
 from kinledger.llm.components import components
 from kinledger.llm.tokens import blocks
 
 #: Words in a shingle, differing bits of a link, fingerprints that the map of shards is drawn from (a quarter as many shards at most).
 SHINGLE, RADIUS, SAMPLE = 3, 3, 16_384
-#: Fingerprints that should live in a shard, and routed rows that a task takes at about the most.
-SHARD, BLOCK = 25_000, 500_000
+#: Fingerprints that should live in a shard, and at-home and asking ones that a task takes at about the most.
+SHARD, HOMES, BLOCK = 25_000, 100_000, 500_000
 #: Points and queries that are compared outright.
 LEAF = 192
 #: The stage's rule: words in a shingle and Jaccard similarity of a link; its bands of ROWS least hashes, and texts that a task compares outright.
@@ -224,8 +227,8 @@ def shard_links(fps: np.ndarray, home: np.ndarray, radius: int = RADIUS, among_h
     return forest.kept
 
 
-def linked(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) of distinct fingerprints ``prints`` (a written table of fp): a spanning forest of each shard."""
+def linked(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE, homes: int = HOMES, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) of distinct fingerprints ``prints`` (a written table of fp): a spanning forest of each block."""
     spark = prints.sparkSession
     n = prints.count()
     drawn = prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
@@ -244,17 +247,23 @@ def linked(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample:
         fps = np.ascontiguousarray(pdf["fp"].to_numpy(np.int64))
         order = np.argsort(fps, kind="stable")
         fps, home = fps[order], pdf["home"].to_numpy(bool)[order]
-        pairs = np.array(shard_links(fps.view(np.uint64), home, radius, key[1] == 0), np.int64).reshape(-1, 2)
+        pairs = np.array(shard_links(fps.view(np.uint64), home, radius, key[2] == 0), np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": fps[pairs[:, 0]], "v": fps[pairs[:, 1]]})
 
     routed = written(prints.mapInArrow(route, "leaf int, fp long, home boolean"), "routed")
-    # a row per shard, of which there are a bounded number
-    asks = routed.groupBy("leaf").agg(F.count(F.when(~F.col("home"), 1)).alias("n")).select("leaf", F.ceil(F.greatest("n", F.lit(1)) / block).cast("int").alias("blocks"))
-    held = routed.join(F.broadcast(asks), "leaf")
-    own = held.filter("home").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    others = held.filter(~F.col("home")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = own.select("leaf", "block", "fp", "home").union(others.select("leaf", "block", "fp", "home"))
-    return dealt.groupBy("leaf", "block").applyInPandas(search, "u long, v long")
+    # a row per shard, of which there are a bounded number; a shard of several home blocks has its later ones ask the earlier
+    n_home, n_ask = F.count(F.when(F.col("home"), 1)), F.count(F.when(~F.col("home"), 1))
+    parts = F.ceil(F.greatest(F.col("n_home"), F.lit(1)) / homes).cast("int")
+    sizes = routed.groupBy("leaf").agg(n_home.alias("n_home"), n_ask.alias("n_ask")).withColumn("parts", parts)
+    asking = F.col("n_ask") + F.when(F.col("parts") > 1, F.col("n_home")).otherwise(F.lit(0))
+    sizes = sizes.select("leaf", "parts", F.ceil(F.greatest(asking, F.lit(1)) / block).cast("int").alias("blocks"))
+    held = routed.join(F.broadcast(sizes), "leaf").withColumns({"part": F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), "block": F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")})
+    up_to = lambda c: F.sequence(F.lit(0), c - 1)
+    own = held.filter("home").withColumn("block", F.explode(up_to(F.col("blocks"))))
+    later = held.filter("home").withColumn("part", F.explode(F.when(F.col("part") > 0, up_to(F.col("part"))))).withColumn("home", F.lit(False))
+    others = held.filter(~F.col("home")).withColumn("part", F.explode(up_to(F.col("parts"))))
+    dealt = reduce(DataFrame.union, [df.select("leaf", "part", "block", "fp", "home") for df in (own, later, others)])
+    return dealt.groupBy("leaf", "part", "block").applyInPandas(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -264,7 +273,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(linked(classes.select("fp"), radius))
     owned = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = owned.select("fp", "least", "root").join(owned.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(made, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +306,7 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set of shingles), fp and keys (of its bands) of every row."""
+    """doc_id, text_key, row_key, node (a hash of the set of shingles), fp and keys (of its bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,11 +321,12 @@ def described(docs: DataFrame) -> DataFrame:
                 longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("text_key"), longs(nodes), longs(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    ["doc_id", "text_key", "node", "fp", "keys"],
+                    [*(piece.column(c) for c in ("doc_id", "text_key", "row_key")), longs(nodes), longs(fps), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                    ["doc_id", "text_key", "row_key", "node", "fp", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, fp long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), row_key(docs).alias("row_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, row_key long, node long, fp long, keys array<long>")
 
 
 def similar_links(sets: list[np.ndarray], member: np.ndarray, asks: np.ndarray, root: list | None = None) -> list[tuple[int, int]]:
@@ -357,7 +367,7 @@ def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, text_key and root (of its component) of every row of docs, by the stage's rule."""
+    """doc_id, text_key, row_key and root (of its component) of every row of docs, by the stage's rule."""
     made = written(described(docs), "described")
     nodes = written(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("text_key").alias("text_key"), F.first("keys").alias("keys")), "nodes")
     prints = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
@@ -395,7 +405,8 @@ def near_copies(docs: DataFrame, group: int = GROUP) -> DataFrame:
         asks = stray.select("group", F.col("at").alias("block"), "node", (F.col("at") == F.col("block")).alias("member"), F.lit(True).alias("ask"), "root")
         held = open_.filter("root = main").select("group", "block", "node", F.lit(True).alias("member"), F.lit(False).alias("ask"), "root")
         roots = components(links.union(_compared(asks.union(held), sets)))
-    return made.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    rows = made.select("doc_id", "text_key", "row_key", "node")
+    return join_hot(rows, roots, "node", "left").select("doc_id", "text_key", "row_key", F.coalesce("root", "node").alias("root"))
 
 
 def _text_key() -> Column:
@@ -403,18 +414,15 @@ def _text_key() -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the row with its smallest doc_id stays, of equal or no ids that with the smallest text key."""
-    keep = near_copies(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
-    keep = keep.select(_key(F.col("k.doc_id")).alias("_kl_key"), F.col("k.none").alias("_kl_none"), F.col("k.text_key").alias("_kl_text"))
-    # one shuffle of the texts, by id and text, serves the join and the choice among equal rows
-    keys = ["_kl_key", "_kl_none", "_kl_text"]
-    keyed = docs.withColumns({"_kl_key": _key(F.col("doc_id")), "_kl_none": F.col("doc_id").cast("long").isNull(), "_kl_text": _text_key()})
-    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
-
-
-def _key(doc_id: Column) -> Column:
-    """The id, with a number for null, so that null joins null."""
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long"))
+    """Pipeline stage: of each component, the row with its smallest doc_id stays, of equal or no ids that with the least text hash, then row hash."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row_key")).alias("k")
+    names = free_names(docs, "kl_none", "kl_id", "kl_text", "kl_row")
+    of = lambda doc_id: (doc_id.isNull(), F.coalesce(doc_id, F.lit(0).cast("long")))
+    k = (*of(F.col("k.doc_id")), F.col("k.text_key"), F.col("k.row_key"))
+    keep = near_copies(docs).groupBy("root").agg(least).select(*[c.alias(n) for c, n in zip(k, names)])
+    # one shuffle of the texts, by these keys, serves the join and the choice among equal rows
+    own = (*of(F.col("doc_id").cast("long")), _text_key(), row_key(docs))
+    return docs.withColumns(dict(zip(names, own))).join(keep, names, "left_semi").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])
 
 
 QUERIES = {"op7_simhash": op7_simhash}

@@ -13,8 +13,9 @@ rounding leaves over is taken from or given to one document of the source in par
 
 All sums are of whole numbers, so reruns agree to the last digit. Defined results:
 null text has size 0 and nothing taken; null is the last source; a source without words
-has target 0; repeated rows are rows of their own; no rows give no rows; further columns
-are not read. One row per source is held by the driver.
+has target 0; repeated rows are rows of their own, and those of one id and text in different sources
+count for their own source each; no rows give no rows; further columns only order equal ids and texts. The stage
+keeps all columns, whatever their names. One row per source is held by the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinledger.llm.common import few, inline, n_words, table, written
+from kinledger.llm.common import few, free_names, inline, n_words, row_key, table, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Unit of rates and of the iterations' sums, documents whose running sums are taken in one go, steps at most.
@@ -93,8 +94,27 @@ def solve(spark: SparkSession, counts: DataFrame, sources: list[dict]) -> dict[i
     return tilt
 
 
+def _nth_equal(rows: DataFrame, most: int = RUN) -> DataFrame:
+    """Adds nth: 0, but the place among equal rows where they are more than ``most``.
+
+    Places are counted by input partition, so that no task sees all rows of such a group.
+    """
+    keyed = rows.withColumns({"same": F.xxhash64("doc_id", "t", "r"), "at": F.shiftright("uid", 33)})
+    hot = written(keyed.groupBy("same").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("same"), "hot")
+    if hot.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    # fewer than rows / most keys
+    hot = F.broadcast(hot)
+    many = keyed.join(hot, "same")
+    counts = many.groupBy("same", "at").agg(F.count("*").alias("n"))
+    before = counts.select("same", "at", (F.sum("n").over(Window.partitionBy("same").orderBy("at")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("same", "at").orderBy("uid")) - 1
+    many = many.withColumn("inside", inside).join(before, ["same", "at"]).select(*rows.columns, (F.col("before") + F.col("inside")).cast("long").alias("nth"))
+    return keyed.join(hot, "same", "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("nth")).union(many)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), sid, size, source_size, target, copies and taken of every row."""
+    """doc_id, t (hash of the text), r (hash of the row), sid, size, source_size, target, copies and taken of every row."""
     spark = docs.sparkSession
     has = "source" in docs.columns
     rows = written(
@@ -103,6 +123,7 @@ def mixed(docs: DataFrame) -> DataFrame:
             (F.col("source").cast("string") if has else F.lit(None).cast("string")).alias("source"),
             n_words(F.col("text")).alias("size"),
             F.xxhash64("text").alias("t"),
+            row_key(docs).alias("r"),
         ).withColumn("uid", F.monotonically_increasing_id()),
         "rows",
     )
@@ -118,27 +139,27 @@ def mixed(docs: DataFrame) -> DataFrame:
     rates = inline(spark, [{"sid": k, "tilt": v} for k, v in tilt.items()], "sid:int,tilt:double")
     rate = F.when(F.col("tilt").isNull(), F.lit(float(MOST))).otherwise(_rate(F.col("tilt"), F.col("size"), F.col("mean")))
     rated = known.join(few(rates, len(sources)), "sid").withColumn("rate", F.round(rate * UNIT).cast("long"))
-    rated = rated.withColumn("run", F.pmod(F.xxhash64("doc_id", "t", "size"), F.lit(max(1, -(-total // RUN)))).cast("int"))
+    rated = _nth_equal(rated).withColumn("run", F.pmod(F.xxhash64("doc_id", "t", "r", F.expr(f"nth div {RUN}")), F.lit(max(1, -(-total // RUN)))).cast("int"))
     per_run = rated.groupBy("sid", "run").agg(F.sum("rate").alias("n"))
     starts = per_run.select("sid", "run", (F.sum("n").over(Window.partitionBy("sid").orderBy("run")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("sid", "run").orderBy(F.desc("size"), "doc_id", "t", "uid")
+    inside = Window.partitionBy("sid", "run").orderBy(F.desc("size"), "doc_id", "t", "r", "uid")
     sums = rated.withColumn("upto", F.sum("rate").over(inside)).join(starts, ["sid", "run"])
     copies = F.expr(f"(before + upto + {UNIT // 2}) div {UNIT}") - F.expr(f"(before + upto - rate + {UNIT // 2}) div {UNIT}")
-    planned = written(sums.withColumn("copies", copies).select("uid", "doc_id", "t", "sid", "size", "source_size", "target", "copies"), "planned")
+    planned = written(sums.withColumn("copies", copies).select("uid", "doc_id", "t", "r", "sid", "size", "source_size", "target", "copies"), "planned")
     # what is left over: one document a source takes more, or less, in part
     left = planned.groupBy("sid").agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
     room = F.when(F.col("left") > 0, (MOST - F.col("copies")) * F.col("size")).otherwise(F.col("copies") * F.col("size"))
     offered = planned.join(few(left.filter("left <> 0"), len(sources)), "sid").withColumn("room", room).filter("room > 0")
     fits = F.col("room") >= F.abs("left")
     pick = offered.groupBy("sid", "left").agg(
-        F.min(F.when(fits, F.struct("room", "doc_id", "t", "uid"))).alias("best"), F.max(F.when(~fits, F.struct("room", "doc_id", "t", "uid"))).alias("most")
+        F.min(F.when(fits, F.struct("room", "doc_id", "t", "r", "uid"))).alias("best"), F.max(F.when(~fits, F.struct("room", "doc_id", "t", "r", "uid"))).alias("most")
     )
     chosen = pick.select(
         F.coalesce("best.uid", "most.uid").alias("uid"),
         (F.signum("left") * F.least(F.abs("left"), F.coalesce("best.room", "most.room"))).cast("long").alias("part"),
     )
     return planned.join(few(chosen, len(sources)), "uid", "left").select(
-        "doc_id", "t", "sid", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + F.coalesce("part", F.lit(0))).alias("taken")
+        "doc_id", "t", "r", "sid", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size") + F.coalesce("part", F.lit(0))).alias("taken")
     )
 
 
@@ -147,14 +168,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix has whole copies of it."""
-    null = F.lit(-(1 << 63)).cast("long")
-    named = lambda c: F.coalesce(c.cast("long"), null)
-    plan = mixed(docs).groupBy(named(F.col("doc_id")).alias("_kl_key"), F.col("t").alias("_kl_text")).agg(F.sum("copies").alias("_kl_copies")).filter("_kl_copies > 0")
-    # one shuffle of the texts, by id and text, serves the choice among equal rows and the join
-    own = docs.withColumns({"_kl_key": named(F.col("doc_id")), "_kl_text": F.xxhash64("text")}).dropDuplicates(["_kl_key", "_kl_text"])
-    both = own.join(plan, ["_kl_key", "_kl_text"])
-    return both.withColumn("_kl_copy", F.explode(F.sequence(F.lit(1), F.col("_kl_copies").cast("int")))).select(*docs.columns)
+    """Pipeline stage: each document as often as the mix has whole copies of it, in its own source."""
+    names = free_names(docs, "kl_id", "kl_none", "kl_text", "kl_row")
+    copies, copy = free_names(docs, "kl_copies", "kl_copy")
+    key = lambda doc_id, t, r: dict(zip(names, (F.coalesce(doc_id, F.lit(0).cast("long")), doc_id.isNull(), t, r)))
+    plan = mixed(docs).withColumns(key(F.col("doc_id"), F.col("t"), F.col("r"))).groupBy(*names).agg(F.sum("copies").alias(copies)).filter(F.col(copies) > 0)
+    # one shuffle of the texts, by these keys, serves the choice among equal rows and the join
+    own = docs.withColumns(key(F.col("doc_id").cast("long"), F.xxhash64("text"), row_key(docs))).dropDuplicates(names)
+    both = own.join(plan, names)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 QUERIES = {"op9_mixing": op9_mixing}

@@ -63,12 +63,12 @@ def test_shard_links(seed, leaf, monkeypatch):
     assert [f.root(k) for k in range(len(fps))] == [want[k] for k in range(len(fps))]
 
 
-@pytest.mark.parametrize("block", [30, 500_000])
-def test_shards_lose_no_link(spark, block):
+@pytest.mark.parametrize("homes, block", [(100_000, 30), (100_000, 500_000), (17, 30), (9, 500_000)])
+def test_shards_lose_no_link(spark, homes, block):
     fps = sorted(set(noisy(600, 9)))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     prints = written(spark.createDataFrame([(f,) for f in signed], "fp long"), "prints")
-    found = {r.node: r.root for r in components(o7.linked(prints, shard=40, sample=64, block=block)).collect()}
+    found = {r.node: r.root for r in components(o7.linked(prints, shard=40, sample=64, homes=homes, block=block)).collect()}
     want = groups(fps, signed)
     assert {f: found.get(f, f) for f in signed} == want
 
