@@ -7,15 +7,18 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of local sessions that name none, by application.
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as Parquet in spark.checkpoint.dir, read back; deleted when the driver ends."""
-    spark = df.sparkSession
+def path(spark: SparkSession, label: str) -> str:
+    """New path in ``spark.checkpoint.dir``, deleted when the driver ends.
+
+    Only a local-mode session without that setting gets a folder of its own; a cluster
+    without it is refused, since its executors share no local disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
@@ -26,8 +29,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
             _OWN[app] = tempfile.mkdtemp(prefix="kinledger-")
             atexit.register(shutil.rmtree, _OWN[app], True)
         folder = "file://" + _OWN[app]
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    made = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return made
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back."""
+    spark = df.sparkSession
+    at = path(spark, label)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
