@@ -1,19 +1,26 @@
 """Shards, mixing, secrets, media, and the pipeline."""
 
 import hashlib
+import math
 import os
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from kinledger.llm import op3_sharding as o3
-from kinledger.llm import op8_secrets as o8
-from kinledger.llm import op9_mixing as o9
-from kinledger.llm import op10_media as o10
-from kinledger.llm.common import scratch_path
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+from kinledger.llm import op3_sharding as o3  # noqa: E402
+from kinledger.llm import op8_secrets as o8  # noqa: E402
+from kinledger.llm import op9_mixing as o9  # noqa: E402
+from kinledger.llm import op10_media as o10  # noqa: E402
+from kinledger.llm.common import scratch_path  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string"
 
@@ -100,11 +107,21 @@ def test_base_spans(text):
     assert o8._joined(o8.base_spans(text)) == plain_base(text)
 
 
+G = o8.guesser(public_tokenizers.path(o8.WORDS_FILE))
+
+
+def add(text, guess=G):
+    return [text[a:b] for a, b, _ in o8.added_spans(text, o8.base_spans(text), guess)]
+
+
 def test_added_spans():
-    add = lambda t: [t[a:b] for a, b, _ in o8.added_spans(t, o8.base_spans(t))]
     assert add("pwd: x9$Kq!2mZp7 here") == ["x9$Kq!2mZp7"] and add("https://bob:x9Kq2mZp7wQ@host/") == ["x9Kq2mZp7wQ"]
     assert add("pwd: password1 passphrase: qwerty123456 pass: aaaaaaaaaaaaaaaa pwd=20240131") == []
     assert add("the pass was long and the key is here") == []
+    assert add("the secret is important, the password is required, auth: internationalization") == []
+    long = "correcthorsebattery" * 2 + "qwertyuiop" * 8
+    assert add(f"passphrase: {long} next") == [long]
+    assert add("pwd=" * 2000) == [] and add("pwd=" * 2000 + "x9$Kq!2mZp7") == ["pwd=" * 1999 + "x9$Kq!2mZp7"]
 
 
 @pytest.mark.parametrize("text, value", [
@@ -114,23 +131,84 @@ def test_added_spans():
 ])
 def test_secret_in_context_is_replaced(text, value):
     base = o8.base_spans(text)
-    out = o8.redacted(text, base + o8.added_spans(text, base))
+    out = o8.redacted(text, base + o8.added_spans(text, base, G))
     assert value in text and value not in out and not any(value[k:] in out for k in range(len(value) - 4))
 
 
 def test_rest_of_a_base_value_is_replaced():
     text = "password=abcdef#9vQ!2mLz7 end"
     base = o8.base_spans(text)
-    spans = base + o8.added_spans(text, base)
+    spans = base + o8.added_spans(text, base, G)
     assert o8.redacted(text, spans) == "[REDACTED][REDACTED] end" and o8._joined(base) == plain_base(text)
 
 
 def test_guess_cost():
-    costs = [o8.guess_cost(v) for v in ("password", "P@ssw0rd1", "qwerty123", "x9$Kq!2mZp")]
-    assert costs == sorted(costs) and costs[0] == 0 and o8.guess_cost("") == 0
-    assert o8.guess_cost("abcabcabcabc") < o8.guess_cost("abxqpzmwkrty") and o8.guess_cost("aaaaaaaaaaaa") < 4 and o8.guess_cost("20240131") < 6
+    costs = [G.cost(v) for v in ("password", "P@ssw0rd1", "qwerty123", "x9$Kq!2mZp")]
+    assert costs == sorted(costs) and costs[0] == 0 and G.cost("") == 0
+    assert G.cost("abcabcabcabc") < G.cost("abxqpzmwkrty") and G.cost("aaaaaaaaaaaa") < 4 and G.cost("20240131") < 6
     for v in ("password", "zq9", "a1b2c3"):  # never dearer than by force
-        assert o8.guess_cost(v) <= sum(np.log10(o8._class_size(c)) for c in v) + 1e-9
+        assert G.cost(v) <= sum(np.log10(o8._class_size(c)) for c in v) + 1e-9
+
+
+def plain_span(v, a, b, ranks):
+    """Least cost of one span of v by the rules of the docstring, each looked at on its own."""
+    t, out = v[a:b], [sum(math.log10(o8._class_size(c)) for c in v[a:b])]
+    low, n = t.lower(), b - a
+    if n >= 3:
+        exact = low in ranks
+        word = low if exact else low.translate(str.maketrans("@4310$5!7", "aaeiossit"))
+        if word in ranks:
+            cased = 1 if low in (t, t[0].lower() + t[1:]) else 8
+            out.append(math.log10(ranks[word] * (1 if t == word else 2) * (1 if exact else 4) * cased))
+        steps = {pair for row in o8.WALKS for x in (row, row[::-1]) for pair in zip(x, x[1:])}
+        goes_on = b < len(v) and (v[b - 1].lower(), v[b].lower()) in steps
+        if all(pair in steps for pair in zip(low, low[1:])) and (n <= 12 or not goes_on):
+            sizes = [abs(ord(y) - ord(x)) for x, y in zip(low, low[1:])]
+            out.append(math.log10(40 * n) + 0.3 * (sum(x != y for x, y in zip(sizes, sizes[1:])) > 2))
+        if len(set(t)) == 1 and not (b < len(v) and v[b] == t[0]):
+            out.append(math.log10(o8._class_size(t[0])) + math.log10(n))
+    for unit in range(2, 9):
+        if n >= 2 * unit and n % unit == 0 and t == t[:unit] * (n // unit) and v[b : b + unit] != t[:unit]:
+            out.append(sum(math.log10(o8._class_size(c)) for c in t[:unit]) + math.log10(n // unit))
+    if (m := o8._DATE.match(v, a)) and m.end() == b:
+        out.append(math.log10(200) if n == 4 else math.log10(365 * 200 * (1 if t.isdigit() else 4)))
+    return min(out), out[0]
+
+
+def exhaustive(v, ranks):
+    """The least cost over all 2 ** (n - 1) segmentations; spans by force have no charge for where they are cut."""
+    n, best = len(v), math.inf
+    for mask in range(1 << max(n - 1, 0)):
+        cuts = [0, *(k + 1 for k in range(n - 1) if mask >> k & 1), n]
+        total = 0.0
+        for a, b in zip(cuts, cuts[1:]):
+            least, force = plain_span(v, a, b, ranks)
+            total += min(force, least + (math.log10(2) if a else 0.0))
+        best = min(best, total)
+    return best if n else 0.0
+
+
+SMALL = o8.Guesser(["pass", "word", "abc", "password", "dog", "passw"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.text(st.sampled_from("aab1204P@0$9-wordpsqe"), max_size=9), st.lists(st.sampled_from(["pass", "P@ss", "word", "dog", "2024", "20240131", "qwe", "asdf", "aaa", "abab", "x", "7", "!"]), max_size=3).map(lambda p: "".join(p)[:11])))
+def test_least_cost_of_all_segmentations(value):
+    want = exhaustive(value, SMALL.rank)
+    assert SMALL.cost(value) == pytest.approx(want)
+    assert SMALL.costs(value) == pytest.approx([exhaustive(value[k:], SMALL.rank) for k in range(len(value))])
+    for enough in (3.0, 6.0):
+        assert (SMALL.cost(value, enough) >= enough) == (want >= enough - 1e-12)
+        assert SMALL.cost(value, enough) <= want + 1e-9
+
+
+def test_long_values_take_linear_time():
+    began = time.perf_counter()
+    many = "\n".join(f"pwd: x9$Kq!2mZp{k}" + f" token=abcdefgh{k}" for k in range(20_000))
+    assert len(add(many)) == 20_000
+    for value in ("ab" * 40_000, "a" * 80_000, "1234567890" * 8000, "".join(chr(33 + k * k % 90) for k in range(80_000))):
+        add(f"pwd: {value}")
+    assert time.perf_counter() - began < 60
 
 
 def test_scan(spark):
@@ -177,7 +255,6 @@ def test_landmarks_by_frames():
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 def test_pipeline(spark):
-    pytest.importorskip("public_tokenizers")
     import corpus_pipeline
     from kinledger.llm.common import written
 
