@@ -2,9 +2,11 @@
 
 A payload's bytes are the 8-bit samples of a one-channel WAV value. Values are
 stored in a table's binary column; reading goes through the wave module. The samples'
-short-time Fourier transform gives each frame's strongest bin, frames that stand
-out from both neighbours are peaks, and each peak is paired with the next ones. A pair
-is one number: frame << 32 | bin << 16 | later bin << 8 | frames between.
+differences (which lift high tones against slow changes) go through a short-time Fourier transform, frame by frame; the first frame's middle is the first sample. Frames whose strongest bin stands
+out from both neighbours hold peaks, up to PEAKS bins that stand out from the bins beside them and
+have PART of the strongest one's strength; and each peak is paired with the next ones, of its own frame and of later ones. A pair
+is one number: frame << 32 | bin << 16 | later bin << 8 | frames between. A lone peak is its own partner, so
+that every payload but a constant one has pairs.
 
 Defined results: null text is like empty text, 64 zero bytes; equal texts have equal
 values; a constant signal has no peaks; repeated rows stay; no rows give no rows; further
@@ -30,8 +32,10 @@ from kinledger.llm.tokens import blocks
 
 #: Samples a second, samples of a frame, samples between frames, frames at a time.
 RATE, FRAME, HOP, CHUNK = 8000, 256, 128, 4096
+#: Peaks of a frame at most, and their strength as a part of the strongest one's.
+PEAKS, PART = 3, 0.25
 #: Later peaks that a peak is paired with, and frames between them at most.
-FAN, REACH = 2, 255
+FAN, REACH = 3, 255
 UNIT = 64
 
 _SHAPE = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
@@ -57,24 +61,34 @@ def from_wav(media: bytes) -> bytes:
 def landmarks(samples: bytes) -> np.ndarray:
     """Time-coded pairs of spectral peaks, ascending by frame."""
     x = np.frombuffer(samples, np.uint8)
-    frames = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.full((frames - 1) * HOP + FRAME - len(x), 128, np.uint8)])
+    frames = max(1, -(-(HOP + len(x) - FRAME) // HOP) + 1)
+    x = np.diff(x.astype(np.float32), prepend=np.float32(x[0] if len(x) else 128))
+    x = np.concatenate([np.zeros(HOP, np.float32), x, np.zeros((frames - 1) * HOP + FRAME - HOP - len(x), np.float32)])
     view = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    bins, strength = np.empty(frames, np.int64), np.empty(frames, np.float32)
+    bins, strength = np.empty((frames, PEAKS), np.int64), np.empty((frames, PEAKS), np.float32)
     for at in range(0, frames, CHUNK):
-        part = (view[at : at + CHUNK].astype(np.float32) - 128) * _SHAPE
-        power = np.abs(np.fft.rfft(part, axis=1)[:, 2:-1])
-        top = power.argmax(1)
-        bins[at : at + CHUNK], strength[at : at + CHUNK] = top + 2, np.round(power[np.arange(len(top)), top], 2)
-    around = np.pad(strength, 1)
-    peaks = np.flatnonzero((strength > 0) & (strength >= around[:-2]) & (strength >= around[2:]))
+        part = view[at : at + CHUNK] * _SHAPE
+        power = np.round(np.abs(np.fft.rfft(part, axis=1)[:, 2:-1]), 2)
+        beside = np.pad(power, ((0, 0), (1, 1)))
+        power[(power < beside[:, :-2]) | (power < beside[:, 2:])] = 0
+        rows = np.arange(len(power))
+        for k in range(PEAKS):
+            top = power.argmax(1)
+            bins[at : at + CHUNK, k], strength[at : at + CHUNK, k] = top + 2, power[rows, top]
+            power[rows, top] = 0
+    first = strength[:, 0]
+    around = np.pad(first, 1)
+    stands = (first > 0) & (first >= around[:-2]) & (first >= around[2:])
+    frame, which = np.nonzero(stands[:, None] & (strength > 0) & (strength >= PART * first[:, None]))
+    tone = bins[frame, which]
+    order = np.lexsort((tone, frame))
+    frame, tone = frame[order], tone[order]
     out = []
-    for k in range(1, FAN + 1):
-        a, b = peaks[:-k], peaks[k:]
-        near = b - a <= REACH
-        a, b = a[near], b[near]
-        out.append(a << 32 | bins[a] << 16 | bins[b] << 8 | (b - a))
-    return np.sort(np.concatenate(out)).astype(np.int64)
+    for k in range(0 if len(frame) == 1 else 1, FAN + 1):
+        a, b = slice(0, max(0, len(frame) - k)), slice(k, None)
+        away = frame[b] - frame[a]
+        out.append((frame[a] << 32 | tone[a] << 16 | tone[b] << 8 | away)[away <= REACH])
+    return np.unique(np.concatenate(out)).astype(np.int64)
 
 
 def stored(docs: DataFrame, path: str) -> DataFrame:

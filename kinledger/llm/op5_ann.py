@@ -5,8 +5,10 @@ centroids, and a codebook for each of PARTS slices of what is left of a vector w
 its centroid. Every vector is indexed: its list, its codes, and the vector itself.
 
 A query probes the lists of its nearest centroids, as many as hold REACH of the true
-nearest within the fit's sample, measured there by brute force. A list is searched in blocks of
-bounded size, so a list that holds a third of all rows is many tasks' work. In each
+nearest within the fit's sample, measured there by brute force. A list's candidates and the queries that probe
+it are each dealt to blocks of bounded size, and each block of queries searches each block of candidates, so a list
+that holds a third of all rows, or that all queries probe, is many tasks' work of bounded memory. What is shuffled
+is the searched pairs over a block's size; a query's row is stored once for each list it probes. In each
 block a table of squared distances from the query's residual to every codeword gives all approximate
 distances by look-ups; the DEEP nearest of the block (ties to smaller vec_id) are
 ranked anew by exact distances on the original vectors, in double precision, and so is every
@@ -30,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinledger.llm.common import inline, table, written
+from kinledger.llm.common import table, written
 
 #: Vectors of the fit, slices of a vector, codewords of a slice.
 SAMPLE, PARTS, WORDS = 12_000, 16, 256
 #: Lists at most, and vectors that a list should have.
 LISTS, PER_LIST = 1024, 600
-#: Share of near vectors whose lists are to be probed, candidates that a block ranks exactly, vectors of a block.
-REACH, DEEP, BLOCK = 0.97, 96, 4096
+#: Share of near vectors whose lists are to be probed, candidates that a block ranks exactly, candidates and queries of a block.
+REACH, DEEP, BLOCK, ASKS = 0.97, 96, 4096, 8192
 EVERY, NEAREST = 100, 10
 
 
@@ -138,7 +140,7 @@ def _kind(rows: DataFrame) -> np.dtype:
     return np.dtype("<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8")
 
 
-def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float = REACH, deep: int = DEEP) -> DataFrame:
+def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float = REACH, deep: int = DEEP, block: int = BLOCK, asks: int = ASKS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query, from ``usable`` rows."""
     spark, kind = rows.sparkSession, _kind(rows)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(SAMPLE).collect()
@@ -151,21 +153,17 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float
     n_probes = q.probes(sample, k, reach)
     shared = spark.sparkContext.broadcast(q)
     stored = written(index(rows, q), "index")
-    # one number a list
-    blocks = {r.list: -(-r.n // BLOCK) for r in stored.groupBy("list").agg(F.count("*").alias("n")).collect()}
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raw = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("vector").to_pylist()
             x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
             for at in range(0, len(ids), 1024):
                 near = np.argsort(_squared(x[at : at + 1024].astype(np.float32), shared.value.coarse), 1, kind="stable")[:, :n_probes]
-                row, own = np.repeat(np.arange(len(near)), n_probes), near.ravel()
-                times = np.array([blocks.get(int(c), 0) for c in own])
-                row, own_n = np.repeat(row, times), np.repeat(own, times)
-                block = np.concatenate([np.arange(t) for t in times]) if len(times) else times
+                row, own = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own_n.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(ids[at : at + 1024][row]), pa.array([raw[at + r] for r in row.tolist()], pa.binary())],
-                    ["list", "block", "query_id", "asked"],
+                    [pa.array(own.astype(np.int32)), pa.array(ids[at : at + 1024][row]), pa.array([raw[at + r] for r in row.tolist()], pa.binary())],
+                    ["list", "query_id", "asked"],
                 )
 
     def search(key: tuple, candidates: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
@@ -176,15 +174,15 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float
             codes = np.frombuffer(b"".join(candidates["codes"]), np.uint8).reshape(len(ids), -1)
             x = np.frombuffer(b"".join(candidates["vector"]), kind).reshape(len(ids), -1).astype(np.float64)
             error, size = candidates["error"].to_numpy(), (x**2).sum(1)
-            asks = asking["query_id"].to_numpy()
-            y = np.frombuffer(b"".join(asking["asked"]), kind).reshape(len(asks), -1).astype(np.float64)
-            for at in range(0, len(asks), 128):
+            who = asking["query_id"].to_numpy()
+            y = np.frombuffer(b"".join(asking["asked"]), kind).reshape(len(who), -1).astype(np.float64)
+            for at in range(0, len(who), 128):
                 tables = shared.value.tables(y[at : at + 128], key[0])
                 rough = np.zeros((len(tables), len(ids)), np.float32)
                 for part in range(codes.shape[1]):
                     rough += tables[:, part][:, codes[:, part]]
                 for j, mine in enumerate(rough):
-                    own = asks[at + j]
+                    own = who[at + j]
                     top = np.argsort(mine, kind="stable")[: deep + 1]
                     if (ids[top] == own).any():  # the query's own rows leave their places to others
                         top = np.argsort(np.where(ids == own, np.inf, mine), kind="stable")[:deep]
@@ -202,11 +200,17 @@ def nearest(rows: DataFrame, every: int = EVERY, k: int = NEAREST, reach: float
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     asked = stored.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    probing = asked.mapInArrow(route, "list int, block int, query_id long, asked binary")
-    # one row a list
-    many = inline(spark, [{"list": c, "blocks": t} for c, t in blocks.items()], "list:int,blocks:int")
-    dealt = stored.join(F.broadcast(many), "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int")).drop("blocks")
-    found = dealt.groupBy("list", "block").cogroup(probing.groupBy("list", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    probing = written(asked.mapInArrow(route, "list int, query_id long, asked binary"), "probing")
+    # a row per list
+    count = lambda df, name, size: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    parts = F.broadcast(written(count(stored, "blocks", block).join(count(probing, "parts", asks), "list"), "parts"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    deal = lambda key, c: F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.col(c)).cast("int")
+    candidates = stored.join(parts, "list").withColumn("block", deal("vec_id", "blocks")).withColumn("part", each("parts"))
+    asking = probing.join(parts, "list").withColumn("part", deal("query_id", "parts")).withColumn("block", each("blocks"))
+    place = ("list", "block", "part")
+    sides = candidates.select(*place, "vec_id", "codes", "error", "vector").groupBy(*place), asking.select(*place, "query_id", "asked").groupBy(*place)
+    found = sides[0].cogroup(sides[1]).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

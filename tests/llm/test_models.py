@@ -1,5 +1,6 @@
 """Quality and language models: formulas against brute force, held-out results, odd rows."""
 
+import math
 import os
 import zlib
 
@@ -64,6 +65,56 @@ def test_term_counts_by_hand():
     assert c.sum() == 6 and o6.term_counts("").sum() == 1
 
 
+def plain_terms(text):
+    """n-grams of 2 to 4 bytes, ASCII but letters as blanks, by bucket: a dictionary of counts."""
+    raw = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in f" {text.lower()} ".encode())
+    out = {}
+    for n in (2, 3, 4):
+        for k in range(len(raw) - n + 1):
+            code = 0
+            for b in raw[k : k + n]:
+                code = (code * 257 + b) % 2**32
+            mixed = ((code ^ code >> 15) * 2654435761 + n * 40503) % 2**32
+            out[mixed >> 20] = out.get(mixed >> 20, 0) + 1
+    return out
+
+
+def test_nearest_centroid_against_a_plain_one(spark):
+    """With a centroid for each training text, the nearest text by cosine of TF-IDF names the language."""
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(f"{'abc'[k % 3]}{'xyzuvw'[int(j)]}o" for j in rng.integers(0, 6, 9)), "abc"[k % 3], None, 1, "") for k in range(24)]
+    docs = spark.createDataFrame(rows + [(None, "axo axo bzo", "b", None, 1, "")], DOCS)
+    got = {r.doc_id: r for r in o6.identified(docs, o6.fit(docs, clusters=100)).collect()}
+    train = [(r.lang, plain_terms(r.text)) for r in docs.collect() if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5]
+    df = {}
+    for _, terms in train:
+        for t in terms:
+            df[t] = df.get(t, 0) + 1
+
+    def unit(terms):
+        x = {t: math.log(1 + c) * (math.log((1 + len(train)) / (1 + df.get(t, 0))) + 1) for t, c in terms.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {t: v / size for t, v in x.items()}
+
+    known = [(lang, unit(terms)) for lang, terms in train]
+    for r in docs.collect():
+        x = unit(plain_terms(r.text))
+        near = [(sum(v * y.get(t, 0.0) for t, v in x.items()), lang) for lang, y in known]
+        best = max(s for s, _ in near)
+        assert got[r.doc_id].score == pytest.approx(min(1.0, best), abs=1e-5)
+        assert got[r.doc_id].lang_pred in {lang for s, lang in near if s > best - 1e-5}
+
+
+def test_equal_texts_get_equal_scores_and_long_ones_are_read_whole():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(j)}" for j in rng.integers(0, 50, 20)) for _ in range(700)]
+    idf = np.ones(o6.BUCKETS)
+    model = o6.NearestCentroid.of(idf, [("a", o6.vectors(np.stack([o6.term_counts(t) for t in texts[:5]]), idf), 0.1), ("b", o6.vectors(o6.term_counts("zz yy")[None], idf), 0.1)])
+    many = model.predict([texts[9]] * 700 + texts + [texts[9]])[1]
+    assert len(set(many[:700].tolist()) | {many[709], many[-1], model.predict([texts[9]])[1][0]}) == 1
+    assert model.predict(["zz yy " * 100_000 + texts[0]])[0] == ["b"] and model.predict(["w1 " + "zz yy " * 100_000])[0] == ["b"]
+
+
 def test_language(spark):
     words = {"en": "the and of with this that house river", "de": "der und nicht schön für haus fluss straße", "fr": "le et pas été pour maison rivière où"}
     rows = []

@@ -186,6 +186,23 @@ def test_nearest_within_a_dense_group(spark, monkeypatch):
     assert len(got) == 60 and hits / (10 * len(got)) > 0.98
 
 
+def test_blocks_of_candidates_and_queries(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, x[7].tolist())] * 150
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, o5.nearest(o5.usable(df), every=3, reach=1.0, **size).collect())) for size in ({}, {"block": 40, "asks": 17})]
+    assert found[0] == found[1] and len(found[0]) == 3000
+    got = {}
+    for q, _, v, _ in found[0]:
+        got.setdefault(q, []).append(v)
+    ids = np.array([r[0] for r in rows])
+    at = np.array([r[1] for r in rows])
+    for q, mine in got.items():
+        d = np.where(ids == q, np.inf, np.sqrt(((at - x[q]) ** 2).sum(1)))
+        assert mine == ids[np.lexsort((ids, d))[:10]].tolist()
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 0.1]), (100, [1.0, 0.1])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in o5.nearest(o5.usable(df)).collect())

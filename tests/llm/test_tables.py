@@ -306,6 +306,38 @@ def test_media(spark):
     assert o10.described(o10.stored(docs.filter("false"), scratch_path(spark, "media"))).count() == 0
 
 
+def plain_landmarks(samples):
+    """Pairs by loops over a Fourier sum of each frame."""
+    x = [0] * o10.HOP + [b - a for a, b in zip([samples[0], *samples], samples)]
+    frames = max(1, math.ceil((len(x) - o10.FRAME) / o10.HOP) + 1)
+    x += [0] * ((frames - 1) * o10.HOP + o10.FRAME - len(x))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(2, 128), np.arange(256)) / 256)
+    spectra = [np.round(np.abs(turn @ (np.array(x[k * 128 : k * 128 + 256]) * np.hanning(257)[:256])), 2) for k in range(frames)]
+    peaks = []
+    for k, p in enumerate(spectra):
+        best = p.max()
+        if best > 0 and all(best >= spectra[j].max() for j in (k - 1, k + 1) if 0 <= j < frames):
+            local = [(-p[f], f) for f in range(126) if p[f] > 0 and (f == 0 or p[f] >= p[f - 1]) and (f == 125 or p[f] >= p[f + 1])]
+            peaks += sorted((k, f + 2) for s, f in sorted(local)[:3] if -s >= 0.25 * best)
+    pairs = {(a, b) for i, a in enumerate(peaks) for b in peaks[i + 1 : i + 4] if b[0] - a[0] <= 255} or {(p, p) for p in peaks}
+    return sorted(a[0] << 32 | a[1] << 16 | b[1] << 8 | b[0] - a[0] for a, b in pairs)
+
+
+@pytest.mark.parametrize("text", ["a", "hi there", "The quick brown fox. " * 7, "x y " * 40 + "and more words, 1234!", "long text with various words in it " * 60])
+def test_landmarks_against_a_plain_transform(text):
+    raw = text.encode()
+    payload = raw.ljust(-(-len(raw) // 64) * 64, b"\0")
+    got = o10.landmarks(payload).tolist()
+    assert len(got) and got == plain_landmarks(payload)
+
+
+def test_short_payloads_differ():
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.choice(list(b"abcdefghijklmnopqrstuvwxyz  "), 40).tolist()) for _ in range(50)]
+    marks = {o10.landmarks(t.ljust(64, b"\0")).tobytes() for t in texts}
+    assert len(marks) > 45
+
+
 def test_landmarks_by_frames():
     t = np.arange(8000)
     tone = (128 + 60 * np.sin(2 * np.pi * 32 * t / 256) * (1 + 0.5 * np.sin(t / 700))).astype(np.uint8).tobytes()
