@@ -64,9 +64,13 @@ class Engine:
     def resolve_all(self, pairs: DataFrame | None = None, **more) -> DataFrame:
         """Decisions for stored entities: for the given pairs, or for all candidate pairs."""
         if pairs is None:
-            pairs, _ = resolve.blocks(normalize_entity(self.entities))
+            pairs = resolve.blocks(normalize_entity(self.entities))
         return resolve.resolve_entities(pairs, self.entities, self.edges, config=self.config, **more)
 
+    def clusters(self, decisions: DataFrame) -> DataFrame:
+        """Each stored entity and the cluster that merge decisions put it in."""
+        return resolve.clusters(decisions, self.entities)
+
     def _starts(self, ids: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "start_id string")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +46,56 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Pairs that are worked together, and characters from which a pair goes alone.
+_TOGETHER, _LONG = 4096, 200
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """Code points of each text, filled up with zeros."""
+    raw = "".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(raw, np.uint32).reshape(len(texts), width)
+
+
+def _front(codes: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Each row's kept codes moved to its begin."""
+    return np.take_along_axis(codes, np.argsort(~kept, axis=1, kind="stable"), 1)
+
+
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of many pairs, place by place of all first texts at once."""
+    out = np.fromiter((1.0 if x == y else 0.0 for x, y in zip(a, b)), np.float64, len(a))
+    size = np.fromiter((max(len(x), len(y)) for x, y in zip(a, b)), np.int64, len(a))
+    open_ = np.flatnonzero(np.fromiter((x != y and x != "" and y != "" for x, y in zip(a, b)), bool, len(a)))
+    for k in open_[size[open_] > _LONG].tolist():
+        out[k] = jaro_winkler(a[k], b[k])
+    open_ = open_[size[open_] <= _LONG]
+    open_ = open_[np.argsort(size[open_], kind="stable")]  # pairs of about one length go together
+    for at in range(0, len(open_), _TOGETHER):
+        rows = open_[at : at + _TOGETHER]
+        x, y = [a[k] for k in rows], [b[k] for k in rows]
+        n, m = np.array([len(t) for t in x]), np.array([len(t) for t in y])
+        p, q = _codes(x, int(n.max())), _codes(y, int(m.max()))
+        reach, place = np.maximum(n, m) // 2 - 1, np.arange(q.shape[1])
+        inside, used, left = place < m[:, None], np.zeros(q.shape, bool), np.zeros(p.shape, bool)
+        line = np.arange(len(rows))
+        for i in range(p.shape[1]):
+            may = (q == p[:, i : i + 1]) & inside & ~used & (np.abs(place - i) <= reach[:, None]) & (i < n)[:, None]
+            first = may.argmax(1)
+            hit = may[line, first]
+            used[line[hit], first[hit]] = True
+            left[:, i] = hit
+        same = left.sum(1)
+        top = int(same.max()) if len(same) else 0
+        apart = (_front(p, left)[:, :top] != _front(q, used)[:, :top]) & (np.arange(top) < same[:, None])
+        swaps, some = apart.sum(1) // 2, np.maximum(same, 1)
+        jaro = np.where(same > 0, (same / n + same / m + (same - swaps) / some) / 3, 0.0)
+        width = min(4, p.shape[1], q.shape[1])
+        alike = (p[:, :width] == q[:, :width]) & (np.arange(width) < np.minimum(n, m)[:, None])
+        prefix = np.cumprod(alike, axis=1).sum(1)
+        out[rows] = np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
+    return out
+
+
 def ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp; the order of the arguments matters, and long texts skip popular characters."""
     return SequenceMatcher(None, a, b).ratio()
@@ -66,8 +117,23 @@ def _paired(f: Callable, kind: str) -> Callable:
     return run
 
 
+def _ratio_many(a: list[str], b: list[str]) -> np.ndarray:
+    return np.fromiter((ratio(x, y) for x, y in zip(a, b)), np.float64, len(a))
+
+
+def _distinct(pairs: list[tuple[str, str]], many: Callable) -> np.ndarray:
+    """``many`` of two lists, of each distinct pair once."""
+    met: dict[tuple[str, str], int] = {}
+    at = [met.setdefault(p, len(met)) for p in pairs]
+    return many([x for x, _ in met], [y for _, y in met])[at] if pairs else np.zeros(0)
+
+
 def jaro_winkler_col(a: Column, b: Column) -> Column:
-    return _paired(jaro_winkler, "double")(a, b)
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(_distinct(list(zip(a.fillna(""), b.fillna(""))), jaro_winkler_many))
+
+    return run(a, b)
 
 
 def ratio_col(a: Column, b: Column) -> Column:
@@ -109,16 +175,25 @@ def name_similarity(a: Column, b: Column, metric: str = "jw4") -> Column:
 
 
 def address_similarity(a: Column, b: Column, metric: str = "jw4") -> Column:
-    """Best of all pairs of addresses; 0 if either list is empty."""
-    f = jaro_winkler if metric == "jw4" else ratio
+    """Best of all pairs of addresses; 0 if either list is empty, 1 without a comparison if they share one."""
+    many = jaro_winkler_many if metric == "jw4" else _ratio_many
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        best = lambda x, y: 0.0 if x is None or y is None or not len(x) or not len(y) else max(1.0 if p == q else f(p, q) for p in x for q in y)
-        return pd.Series([best(x, y) for x, y in zip(a, b)])
+        rows, pairs = [], []
+        for k, (x, y) in enumerate(zip(a, b)):
+            if x is not None and y is not None:
+                pairs += [(p, q) for p in x for q in y]
+                rows += [k] * (len(pairs) - len(rows))
+        best = np.zeros(len(a))
+        np.maximum.at(best, np.array(rows, np.int64), _distinct(pairs, many))
+        return pd.Series(best)
 
     plain = lambda c: F.transform(c, comparable)
-    return run(plain(a), plain(b))
+    x, y = plain(a), plain(b)
+    shared = F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    none = F.array().cast("array<string>")
+    return F.when(shared, F.lit(1.0)).otherwise(run(F.when(~shared, x).otherwise(none), y))
 
 
 def identifier_match(a: Column, b: Column) -> Column:
@@ -238,8 +313,9 @@ def metaphone(c: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null where a vector is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def distance(a: Column, b: Column, eps: float = 1e-6) -> Column:

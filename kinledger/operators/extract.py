@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinledger.functions.normalize import normalize_address, normalize_identifiers, normalize_name, stripped
@@ -59,11 +59,11 @@ def deduplicated(found: DataFrame) -> DataFrame:
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """Entities that a model listed as JSON in column ``response``; unparsable answers give none."""
-    e = F.explode(F.from_json("response", EXTRACTED)["entities"]).alias("e")
+    e = F.posexplode(F.from_json("response", EXTRACTED)["entities"]).alias("pos", "e")
     share = F.when(F.col("e.ownership_pct") != 0, F.concat(F.lit("owner_"), F.regexp_replace(F.col("e.ownership_pct").cast("string"), r"\.0$", ""), F.lit("%")))
     empty = F.array().cast("array<string>")
     return answers.select("doc_id", e).select(
-        "doc_id", F.coalesce("e.name", F.lit("")).alias("name"), F.coalesce("e.type", F.lit("COMPANY")).alias("entity_type"), F.lit(0.9).alias("confidence"),
+        "doc_id", "pos", F.coalesce("e.name", F.lit("")).alias("name"), F.coalesce("e.type", F.lit("COMPANY")).alias("entity_type"), F.lit(0.9).alias("confidence"),
         F.array_compact(F.concat(F.coalesce("e.roles", empty), F.array(share))).alias("roles"), F.coalesce("e.addresses", empty).alias("addresses"), "e.jurisdiction",
         F.try_to_timestamp("e.incorporation_date").cast("timestamp_ntz").alias("incorporation_date"), F.try_to_timestamp("e.dissolved_date").cast("timestamp_ntz").alias("dissolution_date"),
         F.coalesce("e.identifiers", F.expr("map()").cast("map<string,string>")).alias("identifiers"), F.array(F.lit("llm_extraction")).alias("data_sources"),
@@ -85,8 +85,7 @@ def extract_entities(docs: DataFrame, answers: DataFrame | None = None, recognis
     """
     found = recognised
     if answers is not None:
-        n = Window.partitionBy("doc_id").orderBy(F.monotonically_increasing_id())
-        parsed = parse_answers(answers).withColumn("pos", F.row_number().over(n))
+        parsed = parse_answers(answers)
         found = parsed if found is None else found.unionByName(parsed, allowMissingColumns=True)
     left = docs if found is None else docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     ruled = mentions(left)

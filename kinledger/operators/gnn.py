@@ -1,7 +1,9 @@
 """Graph neural layers at inference, a pair scorer, and embedding losses.
 
 Weights are given; none are trained here. A layer is one join of edges and states, one
-aggregation by receiver, and a dense step in Arrow batches.
+aggregation by receiver (a column per place of the state, so that it is partial before the
+shuffle), and one dense step in Arrow batches. Each layer's states are written to the shared
+folder, so a plan has the length of one layer and a lost executor costs a layer at most.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinledger.functions.similarity import distance
+from kinledger.sources.scratch import written
 
 
 @dataclass
@@ -36,9 +39,11 @@ class Weights:
         if kind == "sage":
             layers = [{"own": dense(hidden, hidden)[0], "near": dense(hidden, hidden)[0], "bias": np.zeros(hidden)} for _ in range(n_layers)]
         else:
-            per = hidden // heads
-            layers = [{"lin": dense(hidden, hidden)[0], "to": rng.normal(0, 1, (heads, per)), "from": rng.normal(0, 1, (heads, per)), "bias": np.zeros(hidden)} for _ in range(n_layers)]
-        return cls([dense(n_in, hidden), dense(hidden, hidden)], layers, [dense(hidden, hidden), dense(hidden, n_out)], (np.ones(n_out), np.zeros(n_out)), kind, heads)
+            wide = heads * hidden  # each head is as wide as a state, and heads are joined
+            sizes = [hidden] + [wide] * (n_layers - 1)
+            layers = [{"lin": dense(n, wide)[0], "to": rng.normal(0, 1, (heads, hidden)), "from": rng.normal(0, 1, (heads, hidden)), "bias": np.zeros(wide)} for n in sizes]
+        last = hidden if kind == "sage" else heads * hidden
+        return cls([dense(n_in, hidden), dense(hidden, hidden)], layers, [dense(last, n_out), dense(n_out, n_out)], (np.ones(n_out), np.zeros(n_out)), kind, heads)
 
 
 def _rows(s: pd.Series) -> np.ndarray:
@@ -53,57 +58,68 @@ def _mlp(x: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return x
 
 
-def _mapped(df: DataFrame, f, columns: tuple[str, ...]) -> DataFrame:
-    """node_id and h = f(arrays of the columns)."""
+def _mapped(df: DataFrame, f, columns: tuple[str, ...], out: tuple[str, ...] = ("h",)) -> DataFrame:
+    """node_id and the arrays that f makes of the columns' arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"node_id": b["node_id"], "h": list(f(*[_rows(b[c]) for c in columns]))})
+                made = f(*[_rows(b[c]) for c in columns])
+                yield pd.DataFrame({"node_id": b["node_id"], **{name: list(x) for name, x in zip(out, made if len(out) > 1 else (made,))}})
 
-    return df.select("node_id", *columns).mapInPandas(run, "node_id string, h array<double>")
+    return df.select("node_id", *columns).mapInPandas(run, "node_id string, " + ", ".join(f"{c} array<double>" for c in out))
 
 
-def _sum_by_place(states: str, by: str, df: DataFrame, how) -> DataFrame:
-    """Arrays aggregated place by place, partially before the shuffle."""
-    long = df.select(by, F.posexplode(states).alias("place", "x")).groupBy(by, "place").agg(how("x").alias("x"))
-    return long.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias(states))
+def _by_place(df: DataFrame, by: str, name: str, width: int, how) -> DataFrame:
+    """Arrays of ``width`` aggregated place by place."""
+    got = df.groupBy(by).agg(*[how(F.get(name, F.lit(k))).alias(f"p{k}") for k in range(width)])
+    return got.select(by, F.array(*[f"p{k}" for k in range(width)]).alias(name))
 
 
-def _sage(h: DataFrame, edges: DataFrame, w: dict) -> DataFrame:
-    sent = edges.join(h.withColumnRenamed("node_id", "src"), "src").select("dst", F.col("h").alias("m"))
-    mean = _sum_by_place("m", "dst", sent, F.avg).withColumnRenamed("dst", "node_id")
-    width = len(w["bias"])
-    both = h.join(mean, "node_id", "left").withColumn("m", F.coalesce("m", F.array_repeat(F.lit(0.0), width)))
-    return _mapped(both, lambda x, m: x @ w["own"] + m @ w["near"] + w["bias"], ("h", "m"))
+def sage_layer(h: DataFrame, edges: DataFrame, w: dict, active: bool = False) -> DataFrame:
+    """h own + mean of the senders' h near + bias (a node without senders: mean 0), cut at 0 if ``active``; ``h`` is a written table."""
+    width = w["near"].shape[0]
+    sent = edges.join(h.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id"), F.col("h").alias("m"))
+    both = h.join(_by_place(sent, "node_id", "m", width, F.avg), "node_id", "left").withColumn("m", F.coalesce("m", F.array_repeat(F.lit(0.0), width)))
+    done = lambda x: np.maximum(x, 0) if active else x
+    return _mapped(both, lambda x, m: done(x @ w["own"] + m @ w["near"] + w["bias"]), ("h", "m"))
 
 
-def _gat(h: DataFrame, edges: DataFrame, w: dict, heads: int) -> DataFrame:
-    """Attention by head over each receiver's senders and itself; two aggregations give the soft-max."""
-    per = len(w["bias"]) // heads
-    lin = _mapped(h, lambda x: x @ w["lin"], ("h",))
+def gat_layer(h: DataFrame, edges: DataFrame, w: dict, heads: int, active: bool = False) -> DataFrame:
+    """Attention by head over each receiver's senders and itself; heads are joined.
 
-    def score(name: str) -> DataFrame:
-        return _mapped(lin, lambda x: (x.reshape(-1, heads, per) * w[name]).sum(2), ("h",)).withColumnRenamed("h", name)
+    A receiver's largest score is taken from its scores before they are raised, so that scores of any size
+    have a soft-max.
+    """
+    wide = len(w["bias"])
+    per = wide // heads
 
-    lin = lin.join(score("to"), "node_id").join(score("from"), "node_id")
-    with_self = edges.select("src", "dst").union(lin.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))).distinct()
-    sent = with_self.join(lin.select(F.col("node_id").alias("src"), F.col("h").alias("m"), "from"), "src").join(lin.select(F.col("node_id").alias("dst"), "to"), "dst")
-    raw = F.zip_with("to", "from", lambda a, b: a + b)
-    leaky = F.transform(raw, lambda x: F.when(x > 0, x).otherwise(0.2 * x))
-    e = sent.select("dst", "m", F.transform(leaky, lambda x: F.exp(F.least(x, F.lit(60.0)))).alias("e"))
-    weighted = e.select("dst", F.transform("m", lambda x, i: x * F.get("e", F.floor(i / per).cast("int"))).alias("m"), "e")
-    top, bottom = _sum_by_place("m", "dst", weighted, F.sum), _sum_by_place("e", "dst", weighted, F.sum)
-    return _mapped(top.join(bottom, "dst").withColumnRenamed("dst", "node_id"), lambda m, s: m / np.repeat(s, per, 1) + w["bias"], ("m", "e"))
+    def project(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lin = x @ w["lin"]
+        by_head = lin.reshape(-1, heads, per)
+        return lin, (by_head * w["to"]).sum(2), (by_head * w["from"]).sum(2)
+
+    lin = written(_mapped(h, project, ("h",), ("lin", "to", "from")), "lin")
+    own = lin.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+    near = edges.select("src", "dst").union(own).distinct()
+    pairs = near.join(lin.select(F.col("node_id").alias("src"), "from"), "src").join(lin.select(F.col("node_id").alias("dst"), "to"), "dst")
+    leaky = F.transform(F.zip_with("to", "from", lambda a, b: a + b), lambda x: F.when(x > 0, x).otherwise(0.2 * x))
+    scores = written(pairs.select("src", "dst", leaky.alias("e")), "scores")
+    top = _by_place(scores.select("dst", F.col("e").alias("top")), "dst", "top", heads, F.max)
+    shares = scores.join(top, "dst").select("src", F.col("dst").alias("node_id"), F.zip_with("e", "top", lambda x, t: F.exp(x - t)).alias("e"))
+    sent = shares.join(lin.select(F.col("node_id").alias("src"), F.col("lin").alias("m")), "src")
+    weighed = sent.select("node_id", F.concat("e", F.transform("m", lambda x, i: x * F.get("e", F.floor(i / per).cast("int")))).alias("m"))
+    done = lambda x: np.maximum(x, 0) if active else x
+    return _mapped(_by_place(weighed, "node_id", "m", heads + wide, F.sum), lambda m: done(m[:, heads:] / np.repeat(m[:, :heads], per, 1) + w["bias"]), ("m",))
 
 
 def embed(nodes: DataFrame, edges: DataFrame, weights: Weights) -> DataFrame:
     """node_id and h, unit vectors, from nodes (node_id, features) and edges (src, dst)."""
-    h = _mapped(nodes, lambda x: _mlp(x, weights.encoder), ("features",))
+    h = written(_mapped(nodes, lambda x: _mlp(x, weights.encoder), ("features",)), "states")
+    edges = written(edges.select("src", "dst"), "edges")
     for k, w in enumerate(weights.layers):
-        h = _sage(h, edges, w) if weights.kind == "sage" else _gat(h, edges, w, weights.heads)
-        if k + 1 < len(weights.layers):
-            h = _mapped(h, lambda x: np.maximum(x, 0), ("h",))
+        active = k + 1 < len(weights.layers)
+        h = written(sage_layer(h, edges, w, active) if weights.kind == "sage" else gat_layer(h, edges, w, weights.heads, active), "states")
 
     def finish(x: np.ndarray) -> np.ndarray:
         x = _mlp(x, weights.head)

@@ -21,7 +21,7 @@ def _top(df: DataFrame, limit: int, *order) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy("start_id").orderBy(*order))).filter(F.col("rn") <= limit).drop("rn")
 
 
-def beneficial_owners(edges: DataFrame, entities: DataFrame, starts: DataFrame | None = None, config: EngineConfig = DEFAULTS, method: str = "cte") -> DataFrame:
+def beneficial_owners(edges: DataFrame, entities: DataFrame, starts: DataFrame | None = None, config: EngineConfig = DEFAULTS, method: str = "auto") -> DataFrame:
     """One row per start, owner and trail of the largest shares; trails to an owner aren't summed."""
     kinds = entities.filter(F.col("entity_type").isin(*OWNER_KINDS)).select(F.col("entity_id").alias("owner_id"), F.col("name").alias("owner_name"), F.col("entity_type").alias("owner_type"))
     walked = trails(of_types(edges, UBO_TYPES), starts, config.max_depth, least_pct=config.ubo_threshold, method=method).filter(F.col("pct") >= config.ubo_threshold)
@@ -64,7 +64,8 @@ def ownership_report(edges: DataFrame, entities: DataFrame, starts: DataFrame, c
 
 
 def layered_structures(edges: DataFrame, starts: DataFrame | None = None, least: int = 3, depth: int = 10, limit: int = 20) -> DataFrame:
-    walked = trails(of_types(edges, LAYER_TYPES), starts, depth).filter(F.col("hops") >= least)
+    """Trails of ``least`` hops or more, of each start the first ``limit`` by hops and edges."""
+    walked = trails(of_types(edges, LAYER_TYPES), starts, depth, enough=(least, limit)).filter(F.col("hops") >= least)
     rows = walked.select("start_id", F.col("node").alias("top_id"), F.array_join("nodes", ">").alias("path"), F.array_join("edges", ">").alias("edge_path"), F.col("hops").alias("layers"))
     return _top(rows, limit, "layers", "edge_path")
 

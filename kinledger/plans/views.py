@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinledger.sources.scratch import sql_over
+
 ENTITIES = """
 SELECT concat('C', CAST(c_custkey AS STRING)) AS entity_id,
        concat(p_name, ' ', CASE c_custkey % 6 WHEN 0 THEN 'LLC' WHEN 1 THEN 'Inc.' WHEN 2 THEN 'Corporation'
@@ -65,9 +67,7 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in BASES[name]:
-        base(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(VIEWS[name])
+    return sql_over(spark, VIEWS[name], **{t: base(spark, sf_dir, t) for t in BASES[name]})
 
 
 def with_views(sql: str, *names: str) -> str:

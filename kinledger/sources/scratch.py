@@ -41,3 +41,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     at = path(spark, label)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def sql_over(spark: SparkSession, text: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
+    """SQL with bound parameters over the given frames by name; the session's views of these names stay what they are."""
+    held = {}
+    for name, df in frames.items():
+        old = spark.table(name) if spark.catalog.tableExists(name) else None
+        held[name] = old if spark.catalog.dropTempView(name) else None
+        df.createOrReplaceTempView(name)
+    try:
+        return spark.sql(text, args)
+    finally:
+        for name, old in held.items():
+            spark.catalog.dropTempView(name)
+            if old is not None:
+                old.createOrReplaceTempView(name)

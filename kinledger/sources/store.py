@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kinledger.schema import ENTITY
+from kinledger.sources.scratch import sql_over
 
 OVERWRITTEN = ("addresses", "jurisdiction", "identifiers", "phone_numbers", "email_addresses", "websites", "industry_codes", "roles", "data_sources")
 KEPT = ("name", "original_name", "entity_type", "created_at")
@@ -25,10 +26,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
 
 
 def execute_query(spark: SparkSession, text: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
-    """SQL with bound parameters over the given frames, evaluated lazily."""
-    for name, df in frames.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(text, args)
+    """SQL with bound parameters over the given frames, evaluated lazily; the session's own views stay."""
+    return sql_over(spark, text, args, **frames)
+
+
+def flat_edges(edges: DataFrame) -> DataFrame:
+    """Edges with their properties (a struct, or a map of texts) as columns too, as the graph operators read them."""
+    if "properties" not in edges.columns or "ownership_pct" in edges.columns:
+        return edges
+    kind = edges.schema["properties"].dataType
+    if isinstance(kind, StructType):
+        return edges.withColumns({f: F.col(f"properties.{f}") for f in kind.names if f not in edges.columns})
+    return edges.withColumn("ownership_pct", F.col("properties")["ownership_pct"].try_cast("double"))
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinledger.config import DEFAULTS, EngineConfig
 from kinledger.functions.normalize import normalize_entity
-from kinledger.operators.resolve import blocks, resolve_entities
+from kinledger.operators.resolve import block_keys, blocks, resolve_entities
+from kinledger.sources.scratch import written
 
 
 def first_arrivals(stream: DataFrame, time: str = "last_updated", late: str = "10 minutes", key: tuple[str, ...] = ("entity_id",)) -> DataFrame:
@@ -19,13 +20,18 @@ def first_arrivals(stream: DataFrame, time: str = "last_updated", late: str = "1
 
 
 def link_batch(batch: DataFrame, known: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """Decisions for pairs of a batch's records with each other and with known ones."""
+    """Decisions for pairs of a batch's records with each other and with known ones.
+
+    Of the known entities only those that share a block's key with the batch are paired.
+    """
     new = normalize_entity(batch)
-    every = new.unionByName(known.join(new.select("entity_id"), "entity_id", "left_anti"), allowMissingColumns=True)
-    pairs, _ = blocks(every)
-    ids = new.select("entity_id")
-    touched = pairs.join(ids.withColumnRenamed("entity_id", "id1"), "id1", "left_semi").union(pairs.join(ids.withColumnRenamed("entity_id", "id2"), "id2", "left_semi")).distinct()
-    return resolve_entities(touched, every, config=config)
+    others = known.join(new.select("entity_id"), "entity_id", "left_anti")
+    touched = block_keys(others).join(block_keys(new).select("block").distinct(), "block", "left_semi").select("entity_id").distinct()
+    every = written(new.unionByName(others.join(touched, "entity_id", "left_semi"), allowMissingColumns=True), "batch")
+    ids, pairs = new.select("entity_id").distinct(), blocks(every)
+    one, two = ids.select(F.col("entity_id").alias("id1"), F.lit(True).alias("new1")), ids.select(F.col("entity_id").alias("id2"), F.lit(True).alias("new2"))
+    mine = pairs.join(one, "id1", "left").join(two, "id2", "left").filter("new1 OR new2").select("id1", "id2")
+    return resolve_entities(mine, every, config=config)
 
 
 def link_stream(stream: DataFrame, known: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, config: EngineConfig = DEFAULTS, once: bool = True) -> StreamingQuery:

@@ -99,6 +99,57 @@ def test_nominees_and_report(spark):
     assert got["B"].transparency == "OPAQUE" and got["B"].risk_level == "LOW"
 
 
+def test_edges_with_properties(spark):
+    from kinledger.schema import RELATIONSHIP
+    from kinledger.sources.store import flat_edges
+
+    rows = [{"relationship_id": f"e{k}", "source_entity_id": a, "target_entity_id": b, "relationship_type": t, "properties": {"ownership_pct": p}} for k, (a, b, t, p) in enumerate(CHAIN)]
+    nested = spark.createDataFrame(rows, RELATIONSHIP)
+    texts = edges(spark, CHAIN).selectExpr("* except (ownership_pct)", "map('ownership_pct', string(ownership_pct), 'x', 'y') AS properties")
+    for e in (nested, texts):
+        assert {(r.start_id, r.effective_pct) for r in ownership.beneficial_owners(e, entities(spark)).collect()} == {("A", 80.0), ("B", 40.0)}
+        assert [r.ownership_pct for r in graph.transitive_ownership(e).collect()] == [40.0]
+        assert [(r.neighbor_id, r.hops) for r in graph.neighbors(e, "A").collect()] == [("B", 1), ("P", 1)]
+        assert ownership.circular_ownership(e).count() == ownership.layered_structures(e).count() == 0
+    assert flat_edges(edges(spark, CHAIN)).columns == edges(spark, CHAIN).columns
+
+
+def test_the_session_stays_as_it_is(spark):
+    spark.range(3).createOrReplaceTempView("kl_hop")
+    spark.range(4).createOrReplaceTempView("customer")
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    ownership.beneficial_owners(edges(spark, CHAIN), entities(spark)).count()
+    from kinledger.sources.store import execute_query
+
+    held = execute_query(spark, "SELECT count(*) AS n FROM customer WHERE id < :m", {"m": 2}, customer=spark.range(9))
+    assert held.first().n == 2 and spark.conf.get("spark.sql.cteRecursionRowLimit") == before
+    assert spark.table("kl_hop").count() == 3 and spark.table("customer").count() == 4
+    assert spark.catalog.dropTempView("kl_hop") and spark.catalog.dropTempView("customer")
+    assert not spark.catalog.tableExists("kl_first")
+
+
+def test_layers_stop_where_there_are_enough(spark):
+    rows = [(f"t{k}", "C", "OWNS", None) for k in range(6)] + [("C", "B", "OWNS", None), ("B", "A", "OWNS", None)] + [(f"u{k}", "t0", "OWNS", None) for k in range(4)]
+    e = edges(spark, rows)
+    walked = {m: {(r.start_id, r.node, r.hops) for r in graph.trails(e, None, 10, method=m, enough=(3, 5)).collect()} for m in ("cte", "loop")}
+    gone = walked["cte"] - walked["loop"]
+    assert gone == {("A", f"u{k}", 4) for k in range(4)} and walked["loop"] < walked["cte"]
+    assert ownership.layered_structures(e, limit=5).filter("start_id = 'A'").count() == 5
+
+
+def test_hot_addresses_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBERS", 4)
+    ents = spark.createDataFrame([(f"c{k:02}", "n", "COMPANY", ["hot", f"p{k % 3}"]) for k in range(15)], ENTITY)
+    none = edges(spark, [])
+    got = {(r.source_entity_id, r.target_entity_id): r.shared_addresses for r in graph.shared_addresses(ents, none).collect()}
+    assert len(got) == 105 and got["c00", "c03"] == ["hot", "p0"] and got["c00", "c01"] == ["hot"]
+    groups = {r.address: (r.members, r.first_id) for r in graph.address_groups(ents).collect()}
+    assert groups == {"hot": (15, "c00"), "p0": (5, "c00"), "p1": (5, "c01"), "p2": (5, "c02")}
+    members = ents.selectExpr("entity_id", "'k' AS at")
+    a, b = members.withColumnRenamed("entity_id", "a"), members.withColumnRenamed("entity_id", "b")
+    assert graph.pairs_within(members, "at", a, b, most=4).count() == 225
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], EDGE)
     assert ownership.beneficial_owners(none, entities(spark)).count() == 0

@@ -39,16 +39,62 @@ def test_answers_move_the_score(spark):
     assert "Error" in bad.explanation
 
 
-def test_blocks_report_large_ones(spark):
-    rows = [(f"e{k}", f"N{k}", "COMPANY", ["same place"], {}) for k in range(6)]
-    pairs, large = resolve.blocks(spark.createDataFrame(rows, ENTITY), most=5)
-    assert [r.block for r in large.collect() if r.block.startswith("address")] == ["address:same place"]
-    pairs, large = resolve.blocks(spark.createDataFrame(rows, ENTITY))
-    assert pairs.count() == 15
-    same = [(f"e{k}", f"N{k}", "COMPANY", [], {"ein": "1"}) for k in range(6)]
-    pairs, large = resolve.blocks(spark.createDataFrame(same, ENTITY), most=5)
-    assert {(r.id1, r.id2) for r in pairs.collect()} == {("e0", f"e{k}") for k in range(1, 6)}
-    assert [r.block[:5] for r in large.collect()] == ["sound"]
+def plain_pairs(rows, most):
+    """Pairs by loops: all of small blocks; of large ones those near each other by name, or by the name read backwards, and an identifier's star."""
+    held = {}
+    for i, name, kind, places, ids in rows:
+        sound = {"N": "N000", "P": "P000"}[name[0]]
+        for block in {f"name:{name}", f"sound:{sound}:{kind}", *(f"address:{p}" for p in places), *(f"id:{k}:{v}" for k, v in ids.items())}:
+            held.setdefault(block, []).append((f"{name}|{'|'.join(places)}", i))
+    out = set()
+    for block, members in held.items():
+        for order in (lambda m: m, lambda m: (m[0][::-1], m[1])):
+            line = [i for _, i in sorted(members, key=order)]
+            reach = len(line) if len(line) <= most else most
+            out |= {tuple(sorted((a, b))) for k, a in enumerate(line) for b in line[k + 1 : k + 1 + reach]}
+        if block.startswith("id:"):
+            first = min(i for _, i in members)
+            out |= {(first, i) for _, i in members if i != first}
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 5, 200])
+def test_blocks(spark, most):
+    rows = [(f"e{k:02}", f"N{k * 7 % 11}", "COMPANY", ["same place"] if k < 9 else [], {"ein": "1"} if k % 3 else {}) for k in range(20)]
+    rows += [("f1", "P1", "COMPANY", [], {}), ("f2", "P1", "INDIVIDUAL", ["x"], {"ein": ""})]
+    pairs = [tuple(r) for r in resolve.blocks(spark.createDataFrame(rows, ENTITY), most).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == plain_pairs(rows, most)
+
+
+def test_large_blocks_keep_near_names_together(spark):
+    """1,000 entities at one address, 50 of them again with a typing error at the name's begin or end."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("BCDFGHKLMNPRST"))
+    names = ["".join(rng.choice(letters, 9)) for _ in range(950)]
+    rows = [(f"a{k:04}", n, "COMPANY", ["hot"], {}) for k, n in enumerate(names)]
+    planted = {}
+    for k in range(50):
+        wrong = "Z" + names[k][1:] if k % 2 else names[k][:-1] + "Z"
+        rows.append((f"b{k:04}", wrong, "COMPANY", ["hot"], {}))
+        planted[f"a{k:04}", f"b{k:04}"] = wrong
+    small, large = (spark.createDataFrame(rows[-n:], ENTITY) for n in (200, 1000))
+    found = {(r.id1, r.id2) for r in resolve.blocks(large, most=20).collect()}
+    assert set(planted) <= found and len(found) < 1000 * 2 * 20 * 2
+    counts = [resolve.blocks(df).count() for df in (small, large)]
+    assert counts[0] == 200 * 199 // 2 and counts[1] / 1000 > counts[0] / 200
+
+
+def test_clusters(spark):
+    rows = [("a", "b", "MERGE_ENTITIES"), ("b", "c", "MERGE_ENTITIES"), ("c", "d", "FLAG_FOR_REVIEW"), ("e", "f", "MERGE_ENTITIES")]
+    found = resolve.clusters(spark.createDataFrame(rows, "id1 string, id2 string, action string"))
+    assert {tuple(r) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("e", "e"), ("f", "e")}
+    ents = spark.createDataFrame([(i, f"name {i}", "COMPANY", [i, "x"] if i != "d" else None, 0.5 if i == "a" else None if i == "d" else 0.9) for i in "abcdg"], "entity_id string, name string, entity_type string, addresses array<string>, confidence double")
+    every = resolve.clusters(spark.createDataFrame(rows, "id1 string, id2 string, action string"), ents)
+    got = {r.cluster_id: r for r in resolve.merged_entities(ents, every).collect()}
+    assert set(got) == {"a", "d", "g"} and (got["a"].members, got["a"].name, got["a"].confidence, got["a"].addresses) == (3, "name b", 0.9, ["a", "b", "c", "x"])
+    assert got["d"].addresses == [] and got["d"].confidence is None
+    none = spark.createDataFrame([], "id1 string, id2 string, action string")
+    assert resolve.clusters(none).count() == 0 and resolve.clusters(none, ents).count() == 5
 
 
 def test_extraction(spark):
@@ -136,8 +182,60 @@ def test_gnn_against_numpy(spark):
     out = gnn._mlp(h[None], w.head)
     out = (out - out.mean()) / np.sqrt(out.var() + 1e-5)
     assert got["b"] == pytest.approx((out / np.linalg.norm(out))[0])
-    att = {r.node_id: np.array(r.h) for r in gnn.embed(nodes, edges, gnn.Weights.drawn(2, 4, 3, n_layers=1, kind="gat", heads=2)).collect()}
-    assert set(att) == {"a", "b", "c"} and all(np.linalg.norm(v) == pytest.approx(1) for v in att.values())
+
+
+def plain_gat(x, edges, w, heads, active):
+    """One attention layer by loops over receivers and heads."""
+    per = len(w["bias"]) // heads
+    lin = {k: (v @ w["lin"]).reshape(heads, per) for k, v in x.items()}
+    out = {}
+    for dst in x:
+        senders = sorted({s for s, d in edges if d == dst and s in x} | {dst})
+        parts = []
+        for k in range(heads):
+            raw = np.array([lin[dst][k] @ w["to"][k] + lin[s][k] @ w["from"][k] for s in senders])
+            e = np.where(raw > 0, raw, 0.2 * raw)
+            share = np.exp(e - e.max())
+            parts.append(sum(a * lin[s][k] for a, s in zip(share / share.sum(), senders)))
+        h = np.concatenate(parts) + w["bias"]
+        out[dst] = np.maximum(h, 0) if active else h
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1000.0, -1000.0])
+def test_attention_against_numpy(spark, scale):
+    feats = {"a": [1.0, 0.0], "b": [0.0, 1.0], "c": [1.0, 1.0], "d": [-1.0, 0.5]}
+    links = [("a", "b"), ("c", "b"), ("b", "a"), ("b", "b"), ("d", "b"), ("d", "b"), ("x", "a")]
+    nodes = spark.createDataFrame(list(feats.items()), "node_id string, features array<double>")
+    edges = spark.createDataFrame(links, "src string, dst string")
+    w = gnn.Weights.drawn(2, 4, 3, kind="gat", heads=2)
+    assert w.layers[0]["lin"].shape == (4, 8) and w.layers[1]["lin"].shape == w.layers[2]["lin"].shape == (8, 8) and w.head[0][0].shape == (8, 3)
+    for layer in w.layers:
+        layer["to"] = layer["to"] * scale
+    got = {r.node_id: np.array(r.h) for r in gnn.embed(nodes, edges, w).collect()}
+    x = {k: gnn._mlp(np.array([v]), w.encoder)[0] for k, v in feats.items()}
+    for k, layer in enumerate(w.layers):
+        x = plain_gat(x, links, layer, 2, k < 2)
+    for k, h in x.items():
+        out = gnn._mlp(h[None], w.head)[0]
+        out = (out - out.mean()) / np.sqrt(out.var() + 1e-5)
+        assert got[k] == pytest.approx(out / np.linalg.norm(out), abs=1e-9)
+
+
+def test_a_plan_has_one_layer(spark):
+    nodes = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "node_id string, features array<double>")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    for kind in ("sage", "gat"):
+        sizes = {len(gnn.embed(nodes, edges, gnn.Weights.drawn(2, 4, 3, n_layers=n, kind=kind, heads=2))._jdf.queryExecution().toString()) // 1000 for n in (1, 3)}
+        assert max(sizes) - min(sizes) <= 1
+
+
+def test_a_batch_meets_only_its_blocks(spark):
+    known = [(f"k{k}", f"N{k}", "COMPANY", [f"P{k % 50}"], {}) for k in range(300)]
+    batch = [("n1", "N7", "COMPANY", [], {}), ("k8", "Other", "COMPANY", ["p9"], {}), ("n2", "Zz", "INDIVIDUAL", None, None)]
+    got = {(r.id1, r.id2) for r in link.link_batch(spark.createDataFrame(batch, ENTITY), spark.createDataFrame(known, ENTITY)).collect()}
+    assert ("k7", "n1") in got and {("k109", "k8"), ("k59", "k8"), ("k8", "k9")} <= got
+    assert all("n1" in p or "k8" in p or "n2" in p for p in got)
 
 
 def test_stream(spark, tmp_path):

@@ -17,6 +17,14 @@ def test_jaro_winkler_symmetric(a, b):
     assert s.jaro_winkler(a, b) == pytest.approx(s.jaro_winkler(b, a)) and 0 <= s.jaro_winkler(a, b) <= 1 + 1e-12
 
 
+@given(st.lists(st.tuples(WORDS, WORDS), max_size=20))
+def test_jaro_winkler_of_many_pairs(pairs):
+    pairs += [("a" * 300, "a" * 299 + "b"), ("", ""), ("x", "y"), ("x", "xy")]
+    got = s.jaro_winkler_many([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == pytest.approx([s.jaro_winkler(a, b) for a, b in pairs], abs=1e-12)
+    assert s.jaro_winkler_many([], []).tolist() == []
+
+
 def test_jaro_winkler_values():
     assert s.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert s.jaro_winkler("abc corporation", "abc corp") == pytest.approx(0.906667, abs=1e-6)
@@ -77,7 +85,17 @@ def test_address_similarity(spark):
     assert [r.y for r in df.select(s.address_similarity(F.col("a"), F.col("b")).alias("y")).collect()] == [1.0, 0.0, 0.0]
 
 
+def test_address_lists(spark):
+    rows = [(["12 oak st", "9 elm rd"], ["14 oak st", "7 fir ln"]), (["a"], [""]), (["b"], ["q", "b"])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for metric, f in (("jw4", s.jaro_winkler), ("sm3", s.ratio)):
+        got = [r.y for r in df.select(s.address_similarity(F.col("a"), F.col("b"), metric).alias("y")).collect()]
+        assert got == pytest.approx([max(1.0 if x == y else f(x, y) for x in a for y in b) for a, b in rows])
+
+
 def test_vectors(spark):
+    zero = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0])], "a array<float>, b array<float>")
+    assert zero.select(s.cosine(F.col("a"), F.col("b")).alias("c")).first().c is None
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0])], "a array<float>, b array<float>")
     got = df.select(s.cosine(F.col("a"), F.col("b")).alias("c"), s.distance(F.col("a"), F.col("b"), 0.0).alias("d")).first()
     assert got.c == 0.0 and got.d == pytest.approx(5**0.5)
