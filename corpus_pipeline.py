@@ -14,7 +14,11 @@ from kinledger.llm.common import written
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: the pieces of all documents and their places in sequences."""
+    """Last stage: the pieces of all documents and their places in sequences.
+
+    A null or empty text is its end id alone; repeated rows and rows without an id are packed each for
+    itself; no rows give no pieces; columns but doc_id and text are not read.
+    """
     import public_tokenizers
 
     return op4_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -393,6 +393,14 @@ def ubo(spark, sf_dir):
     return found.withColumns({"effective_pct": F.round("effective_pct", 9), "confidence": F.round("confidence", 9)})
 
 
+@query(f"WITH RECURSIVE {o.ubo()} SELECT start_id, owner_id, round(effective_pct, 9) AS effective_pct, edge_path, chain_length FROM ubos WHERE start_id = 'C42'", "entities", "relationships")
+def ubo_of_one(spark, sf_dir):
+    """One call for one company."""
+    starts = spark.range(1).select(F.lit("C42").alias("start_id"))
+    found = ownership.beneficial_owners(edges(spark, sf_dir), view(spark, sf_dir, "entities"), starts)
+    return found.select("start_id", "owner_id", F.round("effective_pct", 9).alias("effective_pct"), "edge_path", "chain_length")
+
+
 @query(f"WITH RECURSIVE {o.cycles()} SELECT start_id, path, edge_path, cycle_length, 'HIGH' AS risk_level FROM cycles", "relationships")
 def circular(spark, sf_dir):
     return ownership.circular_ownership(edges(spark, sf_dir))
