@@ -37,7 +37,7 @@ from kinledger.llm.common import table, written
 from kinledger.llm.tokens import blocks, tokenizer
 
 #: Pieces that a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 900_000
 
 _MAGIC, _STEP = b"KLEF1", 64
 
