@@ -33,7 +33,7 @@ class WordTokenizer:
     pieces are encoded anew in each block, with the same ids.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,7 +134,7 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[
 _READY: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str, remember: int = 500_000) -> WordTokenizer:
+def tokenizer(path: str, remember: int = 900_000) -> WordTokenizer:
     """One per Python worker."""
     if path not in _READY:
         _READY[path] = WordTokenizer(path, remember)
