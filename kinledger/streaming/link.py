@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinledger.config import DEFAULTS, EngineConfig
 from kinledger.functions.normalize import normalize_entity
-from kinledger.operators.resolve import block_keys, blocks, resolve_entities
+from kinledger.operators.resolve import KINDS, block_keys, blocks, resolve_entities
 from kinledger.sources.scratch import written
 
 
@@ -19,26 +19,25 @@ def first_arrivals(stream: DataFrame, time: str = "last_updated", late: str = "1
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
 
 
-def link_batch(batch: DataFrame, known: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
+def link_batch(batch: DataFrame, known: DataFrame, config: EngineConfig = DEFAULTS, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Decisions for pairs of a batch's records with each other and with known ones.
 
-    Of the known entities only those that share a block's key with the batch are paired.
+    Of the known entities only those that share a block's key with the batch are paired, and none with another known one.
+    ``kinds`` are the blocks that count: ("id",) gives the pairs of an equal primary identifier, and no others.
     """
-    new = normalize_entity(batch)
+    new = written(normalize_entity(batch.repartition("entity_id")), "arrived")
     others = known.join(new.select("entity_id"), "entity_id", "left_anti")
-    touched = block_keys(others).join(block_keys(new).select("block").distinct(), "block", "left_semi").select("entity_id").distinct()
-    every = written(new.unionByName(others.join(touched, "entity_id", "left_semi"), allowMissingColumns=True), "batch")
-    ids, pairs = new.select("entity_id").distinct(), blocks(every)
-    one, two = ids.select(F.col("entity_id").alias("id1"), F.lit(True).alias("new1")), ids.select(F.col("entity_id").alias("id2"), F.lit(True).alias("new2"))
-    mine = pairs.join(one, "id1", "left").join(two, "id2", "left").filter("new1 OR new2").select("id1", "id2")
-    return resolve_entities(mine, every, config=config)
+    touched = block_keys(others, kinds).join(block_keys(new, kinds).select("block").distinct(), "block", "left_semi").select("entity_id").distinct()
+    near = others.join(touched, "entity_id", "left_semi")
+    every = written(new.withColumn("asked", F.lit(True)).unionByName(near.withColumn("asked", F.lit(False)), allowMissingColumns=True), "batch")
+    return resolve_entities(blocks(every, kinds=kinds, asked="asked"), every, config=config)
 
 
-def link_stream(stream: DataFrame, known: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, config: EngineConfig = DEFAULTS, once: bool = True) -> StreamingQuery:
-    """Starts linkage of a stream of entities; ``sink(decisions, batch)`` must bear a batch's repetition."""
+def link_stream(stream: DataFrame, known: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, config: EngineConfig = DEFAULTS, once: bool = True, kinds: tuple[str, ...] = KINDS) -> StreamingQuery:
+    """Starts linkage of a stream of entities by blocks of ``kinds``; ``sink(decisions, batch)`` must bear a batch's repetition."""
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(link_batch(batch, known(), config), number)
+        sink(link_batch(batch, known(), config, kinds), number)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -238,6 +238,15 @@ def test_a_batch_meets_only_its_blocks(spark):
     assert all("n1" in p or "k8" in p or "n2" in p for p in got)
 
 
+def test_a_batch_by_identifier_meets_no_one_else(spark):
+    known = [(f"k{k}", f"Firm {k}", "COMPANY", [f"P{k % 7}"], {"ein": str(k // 2)}) for k in range(40)]
+    batch = [(f"b{k}", f"Firm {k}", "COMPANY", [f"P{k % 7}"], {"ein": str(k // 2), "x": "1"}) for k in range(30)] + [("n", "Firm", "COMPANY", None, None)]
+    rows = lambda **more: link.link_batch(spark.createDataFrame(batch, ENTITY), spark.createDataFrame(known, ENTITY), **more).select("id1", "id2", "score", "identifier_match_score").collect()
+    full, own = rows(), rows(kinds=("id",))
+    assert len(own) == 15 + 60 and set(own) == {r for r in full if r.identifier_match_score == 1} and len(full) > len(own)
+    assert len(full) == len(set(full)) and not any(r.id1[0] == r.id2[0] == "k" for r in full)
+
+
 def test_stream(spark, tmp_path):
     source, seen = str(tmp_path / "in"), []
     schema = ENTITY + ", last_updated timestamp"
