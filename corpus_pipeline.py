@@ -21,7 +21,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    return op4_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # the workers hold what earlier stages left in them, so they keep fewer words than in packing alone
+    return op4_packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), remember=200_000)
 
 
 STAGES = [

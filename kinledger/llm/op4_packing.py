@@ -52,11 +52,14 @@ def cuts(n: int, capacity: int = CAPACITY, slack: int = 64, least: int = 32) ->
     return out
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, cls, part, nth (number within part and class)."""
+def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, remember: int = 900_000) -> DataFrame:
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, cls, part, nth (number within part and class).
+
+    A Python worker keeps the ids of up to ``remember`` distinct words, which changes time and memory and no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, met = tokenizer(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        tok, part, met = tokenizer(tokenizer_path, remember), TaskContext.get().partitionId(), Counter()
         plans: dict[int, list[int]] = {}
         for batch in batches:
             for piece in blocks(batch, "text"):
@@ -134,8 +137,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    return pack(written(cut_documents(docs, tokenizer_path, end_id, capacity), "pieces"), capacity)
+def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, remember: int = 900_000) -> DataFrame:
+    return pack(written(cut_documents(docs, tokenizer_path, end_id, capacity, remember), "pieces"), capacity)
 
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,11 @@ _READY: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str, remember: int = 900_000) -> WordTokenizer:
-    """One per Python worker."""
+    """One per Python worker; the last call says how many pieces it may keep."""
     if path not in _READY:
         _READY[path] = WordTokenizer(path, remember)
-    return _READY[path]
+    tok = _READY[path]
+    tok.remember = remember
+    if len(tok.memo) > remember:
+        tok.memo = {}
+    return tok

@@ -15,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from kinledger.llm import op2_binary_ids as o2  # noqa: E402
 from kinledger.llm import op4_packing as o4  # noqa: E402
 from kinledger.llm.common import written  # noqa: E402
-from kinledger.llm.tokens import WordTokenizer, blocks  # noqa: E402
+from kinledger.llm.tokens import WordTokenizer, blocks, tokenizer  # noqa: E402
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 TOKS = {f: WordTokenizer(public_tokenizers.path(f), remember=50) for f in FILES}
@@ -122,3 +122,12 @@ def test_packing(spark):
     assert sorted(seqs) == list(range(len(seqs)))
     assert pad < 0.05 * sum(r.length for r in rows) + 300
     assert o4.packed(docs.filter("false"), public_tokenizers.path(FILES[1])).count() == 0
+
+
+def test_a_worker_keeps_no_more_than_asked():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.array(["one two three four five six", None, "six five four three two one"])
+    want = [x.tolist() for x in tokenizer(path, 900_000).ids(texts)]
+    assert len(tokenizer(path, 900_000).memo) > 3
+    few = tokenizer(path, 3)
+    assert [x.tolist() for x in few.ids(texts)] == want and len(few.memo) <= 3
