@@ -238,6 +238,17 @@ def test_a_batch_meets_only_its_blocks(spark):
     assert all("n1" in p or "k8" in p or "n2" in p for p in got)
 
 
+def test_pairs_may_bring_scores_and_answers(spark):
+    rows = [(f"e{k}", f"Firm {k % 3}", "COMPANY", [f"{k} Elm", "Oak"][: k % 3], {"ein": str(k // 2)}) for k in range(8)]
+    ents, pairs = spark.createDataFrame(rows, ENTITY), resolve.blocks(spark.createDataFrame(rows, ENTITY))
+    more = {"gnn_score": F.when(F.col("id1") < "e3", 0.7), "response": F.when(F.col("id2") > "e5", '{"is_match": true, "confidence": 0.95}')}
+    joined = resolve.resolve_entities(pairs, ents, scores=pairs.withColumns(more).filter("gnn_score IS NOT NULL").select("id1", "id2", "gnn_score"), answers=pairs.withColumns(more).select("id1", "id2", "response"))
+    brought = resolve.resolve_entities(pairs.withColumns(more), ents, once=True)
+    keep = ("id1", "id2", "gnn_score", "address_similarity", "score", "decision", "explanation")
+    got = [sorted(map(tuple, df.select(*keep).collect())) for df in (joined, brought)]
+    assert got[0] == got[1] and len({r[2] for r in got[0]}) == 2 and len({r[5] for r in got[0]}) > 1
+
+
 def test_a_batch_by_identifier_meets_no_one_else(spark):
     known = [(f"k{k}", f"Firm {k}", "COMPANY", [f"P{k % 7}"], {"ein": str(k // 2)}) for k in range(40)]
     batch = [(f"b{k}", f"Firm {k}", "COMPANY", [f"P{k % 7}"], {"ein": str(k // 2), "x": "1"}) for k in range(30)] + [("n", "Firm", "COMPANY", None, None)]
