@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinledger.config import EngineConfig
 from kinledger.functions import context, features, risk
+from kinledger.functions import similarity as sim
 from kinledger.operators import extract, gnn, resolve
+from kinledger.plans import catalogue
 from kinledger.sources import store
 from kinledger.streaming import link
 
@@ -249,6 +252,61 @@ def test_pairs_may_bring_scores_and_answers(spark):
     assert got[0] == got[1] and len({r[2] for r in got[0]}) == 2 and len({r[5] for r in got[0]}) > 1
 
 
+def _odd_entities(rng):
+    """Equal names and addresses, several addresses, null and empty ones, two identifiers, long and foreign texts."""
+    rows = []
+    for k in range(160):
+        name = [f"Nor{'abc'[k % 3]} Élan {k * 7 % 13}", f"NORA  elan {k % 5} x", "", None, f" nora {'word ' * (k % 30)}", f"Nora {k} ß\U0001f600"][k % 6 if k % 4 else 0]
+        places = [None, [], [f"{k % 9} Elm"], [f"{k % 9}  ELM", f"{k} Oak st", f"{k % 9}  ELM"], [None, "Oak"], [f"{k}" * 70]][int(rng.integers(6))]
+        ids = [None, {}, {"ein": "7"}, {"ein": str(k % 4), "lei": "x"}, {"ein": None, "tag": "t"}, {"tag": None, "lei": ""}, {"tag": "t"}][int(rng.integers(7))]
+        rows.append((f"e{k * 37 % 1000}", name, "INDIVIDUAL" if k % 5 == 0 else "COMPANY", places, ids))
+    return rows
+
+
+@pytest.mark.parametrize("most, metric", [(3, "jw4"), (7, "sm3"), (200, "jw4")])
+def test_candidates_that_meet_in_cells_have_the_signals_of_pairs(spark, most, metric):
+    rng = np.random.default_rng(5)
+    rows, config = _odd_entities(rng), EngineConfig(name_metric=metric)
+    people = [r[0] for r in rows if r[2] == "INDIVIDUAL"]
+    links = [(f"r{k}", people[int(rng.integers(4))], rows[int(rng.integers(len(rows)))][0], "DIRECTOR_OF") for k in range(200)]
+    ents = spark.createDataFrame(rows, ENTITY)
+    edges = spark.createDataFrame(links, "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string").withColumn("ownership_pct", F.lit(None).cast("double"))
+    pairs = resolve.blocks(ents, most)
+    for known in (edges, None):
+        plain = resolve.compute_similarity(pairs, ents, config)
+        plain = resolve.graph_signals(plain, ents, known) if known is not None else plain.withColumns({"num_shared_directors": F.lit(0), "shared_directors_score": F.lit(0.0), "shared_addresses_score": F.when(F.size("shared_addresses") > 0, 1.0).otherwise(0.0)})
+        met = resolve.candidate_signals(ents, known, most, config=config)
+        want, got = (sorted(map(tuple, df.select(met.columns).collect())) for df in (plain, met))
+        assert len(want) > 500 and [r[:2] for r in got] == [r[:2] for r in want]
+        assert got == want
+
+
+def test_measures_among_texts_are_those_of_pairs():
+    rng = np.random.default_rng(2)
+    texts = sorted({"".join(rng.choice(list("abcd é\0"), int(rng.choice([0, 1, 2, 9, 40, 63, 64, 90, 210])))) for _ in range(60)})
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for k, c in enumerate(a, 1):
+            new = [k]
+            for m, d in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[m] + 1, row[m - 1] + (c != d)))
+            row = new
+        return row[-1]
+
+    assert sim.jaro_winkler_among(texts, i, j).tolist() == [sim.jaro_winkler(texts[a], texts[b]) for a, b in zip(i, j)]
+    some = np.arange(0, len(i), 7)
+    assert sim.levenshtein_among(texts, i[some], j[some]).tolist() == [edits(texts[a], texts[b]) for a, b in zip(i[some], j[some])]
+
+
+def test_no_candidate_pair_is_sent_or_looked_up(spark):
+    """Shuffles and joins of resolve_candidates grow with the entities: none stands above the place where pairs are made."""
+    plan = catalogue.QUERIES["resolve_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and "Exchange" not in above and "Join" not in above
+
+
 def test_a_batch_by_identifier_meets_no_one_else(spark):
     known = [(f"k{k}", f"Firm {k}", "COMPANY", [f"P{k % 7}"], {"ein": str(k // 2)}) for k in range(40)]
     batch = [(f"b{k}", f"Firm {k}", "COMPANY", [f"P{k % 7}"], {"ein": str(k // 2), "x": "1"}) for k in range(30)] + [("n", "Firm", "COMPANY", None, None)]
